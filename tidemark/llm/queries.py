@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import accession, cik10
-from tidemark.llm import fusion, leakage
+from tidemark.llm import fusion, leakage, residue
 from tidemark.sources.tables import load
 
 ISSUER_FIELDS = ["ENTITYNAME", "CITY", "STATEORCOUNTRY", "ZIPCODE"]
@@ -39,7 +39,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(docs, items).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_sources": p6_sources, "p8_found": p8_found}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose text is template residue, filler, an error or a script notice."""
+    pages = load(spark, d, "wayback_pages")
+    return residue.score_pages(pages, residue.train(pages)).where("residue").select("page_id")
+
+
+def p3_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of seen and unseen hosts: how many are residue, and how clear the scores are."""
+    pages = load(spark, d, "wayback_pages")
+    scored = residue.score_pages(pages, residue.train(pages))
+    return scored.groupBy((F.col("fold") == 0).alias("unseen")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("residue").cast("double")).alias("share"),
+        F.avg((F.abs("score") < 1).cast("double")).alias("unclear"),
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p6_found": p6_found, "p6_sources": p6_sources, "p8_found": p8_found}
 
 SQL = {
     "p6_found": """
