@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import accession, cik10
-from tidemark.llm import fusion, leakage, residue
+from tidemark.llm import abuse, fusion, leakage, residue
 from tidemark.sources.tables import load
 
 ISSUER_FIELDS = ["ENTITYNAME", "CITY", "STATEORCOUNTRY", "ZIPCODE"]
@@ -55,7 +55,35 @@ def p3_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p6_found": p6_found, "p6_sources": p6_sources, "p8_found": p8_found}
+def _abuse_scores(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    docs = load(spark, d, "documents")
+    net, threshold, _ = abuse.train(docs, load(spark, d, "doc_labels"))
+    return abuse.score(docs, net), threshold
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    scores, threshold = _abuse_scores(spark, d)
+    return scores.where(F.col("score") >= threshold).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _abuse_scores(spark, d)[0].select("doc_id", "score")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and the share of them with such content, per source."""
+    scores, threshold = _abuse_scores(spark, d)
+    hit = (F.col("score") >= threshold).cast("bigint")
+    return scores.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("n_abusive"), F.avg(hit).alias("rate"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p6_found": p6_found, "p6_sources": p6_sources,
+    "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+}
+
 
 SQL = {
     "p6_found": """
