@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import accession, cik10
-from tidemark.llm import abuse, fusion, leakage, residue
+from tidemark.llm import abuse, fusion, leakage, residue, variants
 from tidemark.sources.tables import load
 
 ISSUER_FIELDS = ["ENTITYNAME", "CITY", "STATEORCOUNTRY", "ZIPCODE"]
@@ -79,8 +79,28 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return scores.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("n_abusive"), F.avg(hit).alias("rate"))
 
 
+def filing_ciks(spark: SparkSession, d: str) -> DataFrame:
+    """(accession, cik), each once."""
+    i = load(spark, d, "issuers").select(accession("ACCESSIONNUMBER").alias("accession"), cik10("CIK").alias("cik"))
+    return i.where("accession IS NOT NULL AND cik IS NOT NULL").distinct()
+
+
+def _written_names(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda t, c: load(spark, d, t).select(F.lit(c).alias("field"), F.lit("").alias("scope"), F.col(c).alias("name")).distinct()
+    full = F.concat_ws(" ", F.coalesce("FIRSTNAME", F.lit("")), F.coalesce("LASTNAME", F.lit("")))
+    person = load(spark, d, "relatedpersons").where("FIRSTNAME IS NOT NULL AND LASTNAME IS NOT NULL")
+    person = person.select(accession("ACCESSIONNUMBER").alias("accession"), full.alias("name")).distinct()
+    person = person.join(filing_ciks(spark, d), "accession").select(F.lit("LASTNAME").alias("field"), F.col("cik").alias("scope"), "name")
+    return one("patent_assignees", "assignee_name").unionByName(one("companies", "Organization_Name")).unionByName(person.distinct())
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one organisation or person."""
+    return variants.pairs(variants.link_variants(_written_names(spark, d), F.col("field") == "LASTNAME"))
+
+
 QUERIES = {
-    "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p6_found": p6_found, "p6_sources": p6_sources,
+    "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p5_found": p5_found, "p6_found": p6_found, "p6_sources": p6_sources,
     "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
