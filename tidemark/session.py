@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -62,8 +63,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(module) -> None:
-    """Pickle a module's functions by value, so that executors need no copy of this package."""
-    cloudpickle.register_pickle_by_value(module)
+    """Pickle the functions of a module's package by value, so that executors need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module.__name__.partition(".")[0]])
 
 
 def parallelism(spark: SparkSession) -> int:
