@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import accession, cik10
-from tidemark.llm import abuse, fusion, leakage, residue, variants
-from tidemark.sources.tables import load
+from tidemark.functions.keys import accession, cik10, domain_norm
+from tidemark.llm import abuse, fusion, leakage, linkage, residue, variants
+from tidemark.session import materialize
+from tidemark.sources.tables import load, norm_null
 
 ISSUER_FIELDS = ["ENTITYNAME", "CITY", "STATEORCOUNTRY", "ZIPCODE"]
 
@@ -99,7 +100,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.pairs(variants.link_variants(_written_names(spark, d), F.col("field") == "LASTNAME"))
 
 
+def _organisations(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link_organisations(
+        load(spark, d, "companies").select(
+            "org_id", norm_null("Organization_Name").alias("name"), domain_norm("domain_clean").alias("domain"),
+            norm_null("Headquarters Location").alias("hq"), norm_null("Postal Code").alias("postal"), norm_null("Founders").alias("founders"),
+            F.col("Founded Date").alias("founded"),
+        ),
+        load(spark, d, "issuers").select(
+            cik10("CIK").alias("cik"), accession("ACCESSIONNUMBER").alias("accession"), norm_null("ENTITYNAME").alias("name"),
+            norm_null("CITY").alias("city"), norm_null("STATEORCOUNTRY").alias("state"), norm_null("ZIPCODE").alias("zip"),
+            F.col("received_at").cast("date").alias("seen"),
+        ),
+        load(spark, d, "relatedpersons").select(
+            accession("ACCESSIONNUMBER").alias("accession"), F.concat_ws(" ", norm_null("FIRSTNAME"), norm_null("LASTNAME")).alias("name")
+        ),
+        load(spark, d, "patent_assignees").select(
+            F.col("assignee_row_id").alias("row"), norm_null("assignee_name").alias("name"),
+            F.to_date(F.col("last_filing").cast("string"), "yyyyMMdd").alias("filed"),
+        ),
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of issuers and patent_assignees of the same organisation as a companies row."""
+    return _organisations(spark, d).where(F.col("confidence") >= linkage.ACCEPT).select("org_id", "source", "source_key")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All compared pairs that aren't ruled out, with their confidence."""
+    return _organisations(spark, d)
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_pairs": p1_pairs,
     "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p5_found": p5_found, "p6_found": p6_found, "p6_sources": p6_sources,
     "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }

@@ -17,6 +17,7 @@ import sys
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.names import edits, is_org, org_form, person_agreement, person_form
 from tidemark.session import materialize, ship
@@ -53,7 +54,7 @@ def forms(batches):
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FORM.split(", ")])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def agreement(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact check of a candidate pair, 0 where the names can't be one."""
     out = []
