@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import accession, cik10, domain_norm
-from tidemark.llm import abuse, fusion, leakage, linkage, residue, variants
+from tidemark.llm import abuse, fusion, leakage, linkage, packing, residue, variants
 from tidemark.session import materialize
 from tidemark.sources.tables import load, norm_null
 
@@ -132,10 +132,25 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _organisations(spark, d)
 
 
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    capacities = {r.capacity_id: r.capacity_tokens for r in load(spark, d, "pack_capacity").collect()}  # three rows
+    return packing.pack(packing.count_tokens(load(spark, d, "documents")), capacities)
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container and position of each text or piece, for each capacity."""
+    return _packed(spark, d)[0].select("capacity_id", F.col("id").alias("doc_id"), "piece", "start", "size", "container", "position")
+
+
+def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used for each capacity, and the certified least number."""
+    return _packed(spark, d)[1].select("capacity_id", "containers", "least", "tokens")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs,
     "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p5_found": p5_found, "p6_found": p6_found, "p6_sources": p6_sources,
-    "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+    "p7_packed": p7_packed, "p7_bounds": p7_bounds, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
 
