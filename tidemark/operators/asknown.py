@@ -37,7 +37,8 @@ def as_known_at(
     history; NULL lowest), then the greatest value. A version whose value is NULL is a withdrawal and
     yields NULL. Events with a NULL key or time, and events before any version, get NULLs; versions with
     a NULL key or time are never known. Rows of events repeat as they come; empty inputs are allowed.
-    Columns of history other than those named are not read.
+    Columns of history other than those named are not read; columns of events that bear the result's names
+    are replaced.
     """
     seconds = lambda c: F.unix_micros(c.cast("timestamp"))
     period = lambda t: F.floor(t / (period_days * 86_400_000_000))
@@ -81,7 +82,8 @@ def as_known_at(
     unknown = asked.where(" OR ".join(f"{c} IS NULL" for c in [*keys, "_t"])).withColumn(
         "s", F.lit(None).cast(dict(known.dtypes)["s"])
     )
-    return known.select("_row", "s").unionByName(unknown.select("_row", "s")).select("_row.*", *found(F.col("s")))
+    kept = [F.col(f"_row.`{c}`") for c in events.columns if c not in ("known_value", "known_valid_from", "known_known_at")]
+    return known.select("_row", "s").unionByName(unknown.select("_row", "s")).select(*kept, *found(F.col("s")))
 
 
 def same_text(a: Column, b: Column) -> Column:

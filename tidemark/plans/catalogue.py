@@ -1,7 +1,7 @@
 """All queries of the core, and the SQL that each must agree with."""
 
-from tidemark.plans import records
+from tidemark.plans import analytics, records
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
-FLAGSHIP = "p4_values"
+QUERIES = {**analytics.QUERIES, **records.QUERIES}
+SQL = {**analytics.SQL, **records.SQL}
+FLAGSHIP = "anchor_pick"
