@@ -31,7 +31,7 @@ def p6_sources(spark: SparkSession, d: str) -> DataFrame:
     """Estimated accuracy of each source, and of its dependences the greatest."""
     base = _claims(spark, d).withColumn("key", fusion._key())
     accuracy, copies = fusion.estimate(base, ["accession", "cik"])
-    return accuracy.join(copies, "source", "left").select("source", "acc", F.array_max(F.map_values("dep")).alias("most_dependent"))
+    return accuracy.join(copies, "source", "left").select("source", F.col("_acc").alias("accuracy"), F.array_max(F.map_values("_dep")).alias("most_dependent"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
