@@ -49,7 +49,13 @@ def test_blocks_equal_brute_force():
     for _ in range(20):
         seqs = [[{"norm": str(k), "t": rnd.randrange(10**9), "fmt": rnd.choice("ab"), "cost": float(rnd.randrange(3))} for k in range(rnd.randint(1, 3))] for _ in range(7)]
         pdf = pd.DataFrame({"source": 1, "block": [i // 3 for i in range(7)], "seq": [f"{i:02}" for i in range(7)], "rid": range(7), "cands": seqs})
-        ends = TS.join_blocks(pd.concat([TS.block_costs(g) for _, g in pdf.groupby("block")]))
+        blocks = pd.concat([TS.block_costs(g) for _, g in pdf.groupby("block")], ignore_index=True)
+        direct = TS.join_blocks(blocks)
+        blocks["chain"] = blocks["block"] // 2
+        chains = TS.join_blocks(pd.concat([TS.merge_blocks(g) for _, g in blocks.groupby("chain")]))
+        fixed = blocks.merge(chains.rename(columns={"block": "chain", "first_at": "lo", "last_at": "hi"})[["chain", "lo", "hi"]], on="chain")
+        ends = pd.concat([TS.join_blocks(g) for _, g in fixed.groupby("chain")])
+        assert len(ends) == len(direct)
         got = pd.concat([TS.trace_block(g.merge(ends, on=["source", "block"])) for _, g in pdf.groupby("block")]).sort_values("rid")
 
         def cost(path):

@@ -17,21 +17,18 @@ def active_count(cols: Sequence[str], most: int | None = None) -> Column:
 def impute(df: DataFrame, zero: Sequence[str], median: Sequence[str]) -> DataFrame:
     """NULLs of some columns become 0, of others the median (0 where all are NULL); medians in one pass."""
     if median:
-        row = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in median])  # one row
-        row = row.toDF(*[f"_m_{c}" for c in median])
-        df = df.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in median})
-        df = df.drop(*[f"_m_{c}" for c in median])
+        row = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in median]).first()
+        df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(row[c])) for c in median})
     return df.fillna(0, subset=list(zero)) if zero else df
 
 
 def temporal_split(df: DataFrame, year: str, share: float = 0.8, fallback: float = 0.7, least: float = 0.1) -> DataFrame:
     """df plus split: train before the year at a percentile, else test; a lower percentile if test would be too small."""
-    p = df.agg(F.percentile(year, F.lit(share)).cast("int").alias("hi"), F.percentile(year, F.lit(fallback)).cast("int").alias("lo"))
-    d = df.crossJoin(F.broadcast(p))
-    small = d.agg(F.avg((F.col(year) >= F.col("hi")).cast("double")).alias("_share"))
-    cut = F.when(F.col("_share") < least, F.col("lo")).otherwise(F.col("hi"))
-    d = d.crossJoin(F.broadcast(small)).withColumn("split", F.when(F.col(year) < cut, "train").otherwise("test"))
-    return d.drop("hi", "lo", "_share")
+    p = df.agg(F.percentile(year, F.lit(share)).cast("int").alias("hi"), F.percentile(year, F.lit(fallback)).cast("int").alias("lo")).first()
+    if p.hi is None:
+        return df.withColumn("split", F.lit("test"))
+    late = df.agg(F.avg((F.coalesce(F.col(year) >= p.hi, F.lit(True))).cast("double")).alias("x")).first().x
+    return df.withColumn("split", F.when(F.col(year) < (p.lo if late < least else p.hi), "train").otherwise("test"))
 
 
 def bin_rates(df: DataFrame, value: str, label: str, edges: Sequence[float]) -> DataFrame:

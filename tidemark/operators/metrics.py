@@ -52,8 +52,8 @@ def curve_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr, precision): a point per distinct score."""
     s = _by_score(df, score, label, [])
     s = running_sums(s, [F.desc(score)], {"tp": F.col("_p"), "fp": F.col("_n") - F.col("_p")})
-    s = s.crossJoin(F.broadcast(s.agg(F.max("tp").alias("_tp"), F.max("fp").alias("_fp"))))  # one row
-    p, n = F.col("_tp"), F.col("_fp")
+    total = s.agg(F.max("tp").alias("tp"), F.max("fp").alias("fp")).first()
+    p, n = F.lit(total.tp or 0), F.lit(total.fp or 0)
     return s.select(
         F.col(score).alias("threshold"), "tp", "fp", F.when(p > 0, F.col("tp") / p).alias("tpr"), F.when(n > 0, F.col("fp") / n).alias("fpr"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -71,12 +71,11 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def precision_at(df: DataFrame, score: str, label: str, tie: str, shares: Sequence[float]) -> DataFrame:
     """(q, k, hits, precision) of the top shares by score; ties in order of another column."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))  # one row
-    q = F.explode(F.array(*[F.lit(float(x)) for x in shares]))
-    ks = n.select("n", q.alias("q")).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("q")).cast("int"))).drop("n")
+    n = df.count()
+    ks = [F.struct(F.lit(float(q)).alias("q"), F.lit(max(1, int(n * q))).alias("k")) for q in shares]
     ranked = running_sums(df.select(score, tie, F.col(label).cast("bigint").alias("y")), [F.desc(score), F.col(tie)], {"rn": F.lit(1)})
-    top = ranked.join(F.broadcast(ks), F.col("rn") <= F.col("k"))
-    return top.groupBy("q", "k").agg(F.sum("y").alias("hits")).withColumn("precision", F.col("hits") / F.col("k"))
+    top = ranked.select("y", F.explode(F.filter(F.array(*ks), lambda x: x["k"] >= F.col("rn"))).alias("x"))
+    return top.groupBy("x.q", "x.k").agg(F.sum("y").alias("hits")).withColumn("precision", F.col("hits") / F.col("k"))
 
 
 def stratified_folds(df: DataFrame, label: str, order: Column, k: int = 5) -> DataFrame:

@@ -5,9 +5,10 @@ where nothing is declared 1. Transition cost: SWITCH for another format than the
 log(1 + days) * BACK, at most BACK_MOST, for a jump back in time.
 
 A source may hold a third of all rows, so its records are cut into blocks of consecutive ids. Each block
-yields the least cost between each of its first and each of its last readings (a min-plus matrix); the
-matrices of one source, one per BLOCK records, are joined in order to fix both ends of every block, and
-the blocks are then traced back independently. This is the exact path over the whole source.
+yields the least cost between each of its first and each of its last readings (a min-plus matrix). The
+matrices of CHAIN consecutive blocks are merged into one; those of a source, one per BLOCK * CHAIN records,
+are joined in order, which fixes the ends of every chain, then of every block, and the blocks are traced
+back independently. This is the exact path over the whole source.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tidemark.sources.tables import norm_null
 
 ship(sys.modules[__name__])
 
-SWITCH, BACK, BACK_MOST, BLOCK = 1.0, 0.25, 3.0, 8192
+SWITCH, BACK, BACK_MOST, BLOCK, CHAIN = 1.0, 0.25, 3.0, 8192, 4096
 
 
 def _step(cost: np.ndarray, was: list, now: list) -> tuple[np.ndarray, np.ndarray]:
@@ -56,25 +57,48 @@ def block_costs(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _ends(r: pd.Series, end: str) -> list[dict]:
+    """A block's first or last readings; their own costs are in the block's matrix."""
+    return [{"fmt": f, "t": t, "cost": 0.0} for f, t in zip(r[f"{end}_fmt"], r[f"{end}_t"])]
+
+
+def _matrix(r: pd.Series) -> np.ndarray:
+    return np.asarray(r["cost"], dtype=float).reshape(len(r["first_t"]), len(r["last_t"]))
+
+
+def merge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for consecutive blocks: the ends of their chain and the least costs between them."""
+    pdf = pdf.sort_values("block").reset_index(drop=True)
+    head, tail = pdf.iloc[0], pdf.iloc[-1]
+    cost = _matrix(head)
+    for k in range(1, len(pdf)):
+        cost, _ = _step(cost, _ends(pdf.iloc[k - 1], "last"), _ends(pdf.iloc[k], "first"))
+        cost = (cost[:, :, None] + _matrix(pdf.iloc[k])[None]).min(axis=1)
+    row = {"source": head["source"], "block": head["chain"], "cost": cost.ravel().tolist()}
+    row |= {c: head[c] for c in ("first_fmt", "first_t")} | {c: tail[c] for c in ("last_fmt", "last_t")}
+    return pd.DataFrame([row])
+
+
 def join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a source, the indexes of its first and last reading on the best path."""
+    """For each of consecutive blocks, the indexes of its first and last reading on the best path; columns lo
+    and hi, where present, fix the readings at the chain's two ends."""
     pdf = pdf.sort_values("block").reset_index(drop=True)
+    fixed = "lo" in pdf.columns
     best, back = None, []
-    for k, r in pdf.iterrows():
-        n, m = len(r["first_t"]), len(r["last_t"])
-        own = np.asarray(r["cost"], dtype=float).reshape(n, m)
-        first = [{"fmt": f, "t": t, "cost": 0.0} for f, t in zip(r["first_fmt"], r["first_t"])]
+    for _, r in pdf.iterrows():
+        own = _matrix(r)
         if best is None:
-            at, came = np.zeros(n), np.zeros(n, dtype=int)
+            at, came = np.zeros(len(own)), np.zeros(len(own), dtype=int)
+            if fixed:
+                at = np.where(np.arange(len(own)) == pdf.at[0, "lo"], 0.0, np.inf)
         else:
-            x, c = _step(best[None, :], last, first)
+            x, c = _step(best[None, :], last, _ends(r, "first"))
             at, came = x[0], c[0]
         total = at[:, None] + own
-        start = total.argmin(axis=0)
+        back.append((came, total.argmin(axis=0)))
         best = total.min(axis=0)
-        back.append((came, start))
-        last = [{"fmt": f, "t": t, "cost": 0.0} for f, t in zip(r["last_fmt"], r["last_t"])]
-    out, end = [], int(best.argmin())
+        last = _ends(r, "last")
+    out, end = [], int(pdf.at[0, "hi"]) if fixed else int(best.argmin())
     for k in range(len(pdf) - 1, -1, -1):
         came, start = back[k]
         first = int(start[end])
@@ -144,11 +168,13 @@ def normalise_timestamps(
     )
     # Read twice; and the filter must not sink into the parsing, where it would repeat it.
     flat = materialize(flat, "readings").where(F.size("cands") > 0)
-    blocks = flat.groupBy("source", "block").applyInPandas(
-        block_costs,
-        "source bigint, block bigint, cost array<double>, first_fmt array<string>, first_t array<bigint>, last_fmt array<string>, last_t array<bigint>",
-    )
-    ends = blocks.groupBy("source").applyInPandas(join_blocks, "source bigint, block bigint, first_at int, last_at int")
+    chain = "source bigint, block bigint, cost array<double>, first_fmt array<string>, first_t array<bigint>, last_fmt array<string>, last_t array<bigint>"
+    blocks = materialize(flat.groupBy("source", "block").applyInPandas(block_costs, chain), "blocks")
+    blocks = blocks.withColumn("chain", F.floor(F.col("block") / CHAIN))
+    ends = "source bigint, block bigint, first_at int, last_at int"
+    chains = blocks.groupBy("source", "chain").applyInPandas(merge_blocks, chain).groupBy("source").applyInPandas(join_blocks, ends)
+    chains = chains.select("source", F.col("block").alias("chain"), F.col("first_at").alias("lo"), F.col("last_at").alias("hi"))
+    ends = blocks.join(chains, ["source", "chain"]).groupBy("source", "chain").applyInPandas(join_blocks, ends)
     traced = (
         flat.join(ends, ["source", "block"])
         .groupBy("source", "block")

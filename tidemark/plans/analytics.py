@@ -35,8 +35,8 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
     """Per user the anchor: five days before the last event of all."""
     e = load(spark, d, "events")
-    last = e.agg(F.date_sub(F.max(F.col("ts").cast("date")), 5).alias("anchor"))
-    return e.select("user_id").distinct().crossJoin(F.broadcast(last))
+    last = e.agg(F.date_sub(F.max(F.col("ts").cast("date")), 5).alias("anchor")).first().anchor
+    return e.select("user_id").distinct().withColumn("anchor", F.lit(last).cast("date"))
 
 
 ANCHORS = "a AS (SELECT DISTINCT user_id, (SELECT max(CAST(ts AS DATE)) - 5 FROM events) anchor FROM events)"
