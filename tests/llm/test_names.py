@@ -63,6 +63,33 @@ def test_variants(spark):
     assert variants.link_variants(df.where("false"), F.lit(False)).count() == 0
 
 
+def test_slips_are_all_found(spark):
+    """Against every pair of cores by edit distance, where slips leave few grams or none in common."""
+    rnd = random.Random(9)
+    cores = ["puxarosafe", "pularoasfe", "mreodumaro", "merodmuaro"]
+    for n in (3, 7, 8, 9, 10, 12, 22, 23, 24, 25, 26, 40, 90):
+        for _ in range(6):
+            base = "".join(rnd.choice("abdefgiklmnoprstuvxz") for _ in range(n))
+            for _ in range(3):
+                t = list(base)
+                for _ in range(2):
+                    i = rnd.randrange(len(t) - 1)
+                    kind = rnd.randrange(4)
+                    t[i : i + 2] = [[t[i + 1], t[i]], [t[i]], ["q", t[i + 1]], [t[i], "q", t[i + 1]]][kind]
+                cores.append("".join(t))
+            cores.append(base)
+    cores = sorted(set(cores))
+    df = spark.createDataFrame([(i, 1, "f", "o", t, variants.grams(t, 4)) for i, t in enumerate(cores)], "id bigint, space bigint, field string, kind string, text string, grams array<string>")
+    got = {(r.a, r.b) for r in variants.similar(df).where(F.col("s") >= variants.LINK).collect()}
+    want = set()
+    for (i, a), (j, b) in itertools.combinations(enumerate(cores), 2):
+        most = 2 if min(len(a), len(b)) >= 8 else 1
+        if min(len(a), len(b)) >= 4 and names.edits(a, b, most) <= most:
+            want.add((i, j))
+    assert len(want) > 150 and want <= got
+    assert {(cores[i], cores[j]) for i, j in want} >= {("pularoasfe", "puxarosafe"), ("merodmuaro", "mreodumaro")}
+
+
 def test_em_recovers_classes():
     rnd = random.Random(4)
     rows = []

@@ -1,13 +1,15 @@
-"""Spellings of one name: sparse cosine joins over character n-grams, grouped by average linkage.
+"""Spellings of one name: joins that miss no pair of like forms, grouped by average linkage.
 
 Names become normal forms (see names.py); equal forms are one node, however many spellings and rows they
 have. A node's vector holds its form's character n-grams, weighted by inverse document frequency. Two
-nodes of a scope whose cosine reaches LOW must share a gram among the rarest ones of both, those before
+persons of a scope whose cosine reaches LOW must share a gram among the rarest ones of both, those before
 which the rest of the vector is shorter than LOW (grams ordered by frequency); only those are joined on,
-so no pair at or above LOW is missed and no partner list is capped. The candidates' cosines are computed
-from the whole vectors. Links are grouped by average linkage, absent pairs counting 0, in rounds that
-merge all mutually nearest clusters at once; average linkage is reducible, so the result is that of
-merging one pair at a time. No group is ever collected.
+so no pair at or above LOW is missed and no partner list is capped. Slips leave two organisations' cores
+few grams or none in common, so these are joined on what a pair within EDITS edits always shares (see
+slip_keys), and the cosine only adds to their score. The candidates' cosines are computed from the whole
+vectors. Links are grouped by average linkage, absent pairs counting 0, in rounds that merge all mutually
+nearest clusters at once; average linkage is reducible, so the result is that of merging one pair at a
+time. No group is ever collected.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tidemark.session import materialize, ship
 ship(sys.modules[__name__])
 
 LOW, LINK, ORG_GRAM, PERSON_GRAM = 0.25, 0.5, 4, 3
+#: Most edits of organisations' cores, from how many letters on; cores below SHORT letters need LOW too; above LONG they are cut into segments.
+EDITS, TWICE, SHORT, LONG = 2, 8, 4, 24
 FORM = "field string, scope string, name string, kind string, line string, text string, grams array<string>"
 
 
@@ -62,12 +66,64 @@ def agreement(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         if k == "p":
             out.append(person_agreement(tuple(x.split()), tuple(y.split())))
         else:
-            most = 2 if min(len(x), len(y)) >= 8 else 1
+            most = EDITS if min(len(x), len(y)) >= TWICE else 1
             d = edits(x, y, most)
             out.append(0.0 if d > most else 1 - d / 5)
     return pd.Series(out, dtype="float64")
 
 
+def deletions(text: str) -> set[str]:
+    """text with up to as many letters left out as it may have edits: two cores that the exact check accepts share one, swaps included."""
+    out = last = {text}
+    for _ in range(EDITS if len(text) >= TWICE else 1):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
+def segments(text: str) -> tuple[set[str], set[str]]:
+    """(own, sought): one of two cores within EDITS edits seeks an own segment of the other, as the edits touch two of its segments each at most."""
+    n = 2 * EDITS + 1
+    cut = lambda size, j, by: (j * size // n + by, (j + 1) * size // n + by)
+    own, sought, size = set(), set(), len(text)
+    for j in range(n):
+        a, b = cut(size, j, 0)
+        own.add(f"{size} {j} {text[a:b]}")
+        for other in range(size - EDITS, size + EDITS + 1):
+            for by in range(-EDITS, EDITS + 1):
+                a, b = cut(other, j, by)
+                if 0 <= a and b <= size:
+                    sought.add(f"{other} {j} {text[a:b]}")
+    return own, sought
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("both", "own", "sought")]))
+def slip_keys(text: pd.Series) -> pd.DataFrame:
+    """Keys of organisations' cores: two within the allowed edits share one of both, or one's own is the other's sought."""
+    out = []
+    for t in text:
+        own, sought = segments(t) if len(t) > LONG - EDITS else ((), ())
+        out.append((list(deletions(t)) if len(t) <= LONG else [], list(own), list(sought)))
+    return pd.DataFrame(out, columns=["both", "own", "sought"])
+
+
+def slipped(orgs: DataFrame) -> DataFrame:
+    """(a, b, ta, tb), a < b, some more than once: every pair of orgs (id, space, text) of one space within the allowed edits, among others."""
+    keyed = orgs.select("id", "space", "text", slip_keys("text").alias("k"))
+    keyed = materialize(
+        keyed.select("id", "text", F.transform("k.both", lambda x: F.xxhash64("space", x)).alias("both"), F.transform("k.own", lambda x: F.xxhash64("space", x)).alias("own"), F.transform("k.sought", lambda x: F.xxhash64("space", x)).alias("sought")),
+        "slips",
+    )
+    side = lambda keys, c, t: keyed.select(F.col("id").alias(c), F.col("text").alias(t), F.explode(keys).alias("key"))
+    short = side("both", "a", "ta").join(side("both", "b", "tb"), "key").where("a < b")
+    long = side("own", "a", "ta").join(side("sought", "b", "tb"), "key").where("a <> b")
+    turned = F.col("a") > F.col("b")
+    long = long.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("tb")).otherwise(F.col("ta")).alias("ta"), F.when(turned, F.col("ta")).otherwise(F.col("tb")).alias("tb")
+    )
+    return short.select("a", "b", "ta", "tb").unionByName(long).where(F.levenshtein("ta", "tb", 2 * EDITS) >= 0)  # a swap counts twice here
+
+
 def similar(nodes: DataFrame) -> DataFrame:
     """(a, b, s): pairs of nodes (id, space, kind, text, grams) of one space that may be one name, a < b."""
     g = nodes.select("id", "space", "field", "kind", F.explode("grams").alias("gram"))
@@ -90,18 +146,20 @@ def similar(nodes: DataFrame) -> DataFrame:
         F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"] / F.col("norm")))).alias("vec"),
     )
     vec = materialize(vec, "vectors")
-    key = vec.select("id", "space", "kind", "text", F.explode(F.slice("gs", F.lit(1), F.greatest(F.col("k"), F.lit(1)))).alias("gram"))
+    key = vec.where("kind = 'p'").select("id", "space", "text", F.explode(F.slice("gs", F.lit(1), F.greatest(F.col("k"), F.lit(1)))).alias("gram"))
     a, b = key.alias("a"), key.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("space", "kind", "gram")] + [F.col("a.id") < F.col("b.id")]
-    near = (F.col("a.kind") == "p") | (F.levenshtein("a.text", "b.text", 4) >= 0)
-    cand = a.join(b, on).where(near).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.kind").alias("kind"), F.col("a.text").alias("ta"), F.col("b.text").alias("tb")
-    ).dropDuplicates(["a", "b"])
-    cand = cand.withColumn("agree", agreement("kind", "ta", "tb")).where("agree > 0").select("a", "b", "agree")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("space", "gram")] + [F.col("a.id") < F.col("b.id")]
+    persons = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("ta"), F.col("b.text").alias("tb"))
+    orgs = slipped(vec.where("kind = 'o'").select("id", "space", "text"))
+    cand = persons.withColumn("kind", F.lit("p")).unionByName(orgs.withColumn("kind", F.lit("o"))).dropDuplicates(["a", "b"])
+    cand = cand.withColumn("agree", agreement("kind", "ta", "tb")).where("agree > 0")
+    cand = cand.select("a", "b", "agree", ((F.col("kind") == "o") & (F.least(F.length("ta"), F.length("tb")) >= SHORT)).alias("sure"))
     va, vb = vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), vec.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
     dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, x: s + F.coalesce(F.col("va")[x] * F.col("vb")[x], F.lit(0.0)))
-    return cand.join(va, "a").join(vb, "b").withColumn("cos", dot).where(F.col("cos") >= LOW).select(
-        "a", "b", (F.lit(0.4) * F.col("cos") + F.lit(0.6) * F.col("agree")).alias("s")
+    # cores within the allowed edits link by themselves, whatever grams the slips leave them
+    sure = F.col("agree") + (1 - F.col("agree")) * F.col("cos")
+    return cand.join(va, "a").join(vb, "b").withColumn("cos", dot).where((F.col("cos") >= LOW) | F.col("sure")).select(
+        "a", "b", F.when(F.col("sure"), sure).otherwise(F.lit(0.4) * F.col("cos") + F.lit(0.6) * F.col("agree")).alias("s")
     )
 
 
