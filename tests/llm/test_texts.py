@@ -43,6 +43,24 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.where("false"), spark.createDataFrame(items, "item_id bigint, text string, share string")).count() == 0
 
 
+def test_leaks_in_another_order(spark):
+    """Parts of an item count in whatever order a document holds them, edits included."""
+    rnd = random.Random(12)
+    items = [(i, _text(rnd, 80)) for i in range(5)]
+    part = lambda i, a, b: items[i][1].split()[a:b]
+    edit = lambda w: [*w[:6], "changed", *w[7:13], "extra", *w[13:]]
+    docs = [
+        (1, [*part(0, 60, 80), *part(0, 40, 60), *part(0, 20, 40), *part(0, 0, 20)]),
+        (2, [*_text(rnd, 30).split(), *edit(part(1, 50, 68)), *_text(rnd, 12).split(), *edit(part(1, 10, 28)), *_text(rnd, 30).split()]),
+        (3, [*part(2, 60, 70), *_text(rnd, 5).split(), *part(2, 10, 20), *_text(rnd, 40).split()]),
+        (4, [w for k in range(0, 80, 4) for w in part(3, 76 - k, 80 - k)]),
+    ]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in leakage.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert set(got) == {(1, 0), (2, 1)}  # a quarter of item 2, and phrases of item 3, are no case
+    assert got[1, 0] > 0.95
+
+
 def test_residue(spark):
     own = ["We build sensors for farms in the north.", "The team grew to forty people last year.", "Customers renew after nine months on average.", "The advisory board meets twice a year.", "Pilots showed that losses fell by ten percent."]
     bad = ["404 Not Found The requested URL was not found on this server.", "Welcome to {{company_name}}, the leading maker of {{product}}.", "Please enable JavaScript to continue.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."]

@@ -5,8 +5,9 @@ over SPAN words of which only the marked positions are hashed, so a substituted
 hide a hit. Hashes of all positions of all documents are joined with those of the test items: the items
 are a stated, small set, split into blocks of at most BLOCK_WORDS words whose sorted hashes travel to the
 scan; every block is held against all rows. Around the hits of one document and item the shared stretches
-are aligned word by word, substitutions, insertions and deletions included, and measured in characters of
-the item.
+are aligned word by word, substitutions, insertions and deletions included, each run of hits on about one
+diagonal by itself too, so that parts count in whatever order they come; what they mark of the item is
+united and measured in characters of the item.
 """
 
 from __future__ import annotations
@@ -82,11 +83,57 @@ class Index:
         return out
 
 
+def mark(marked: np.ndarray, blocks: list) -> None:
+    """Mark the item's words in the runs of rising blocks; those less than GAP_WORDS apart on both sides join into a run."""
+    run: list = []
+    for b in [*blocks, None]:
+        if b is not None and b.size == 0:
+            continue
+        if run and (b is None or b.a - (run[-1].a + run[-1].size) > GAP_WORDS or b.b - (run[-1].b + run[-1].size) > GAP_WORDS):
+            same, first, last = sum(x.size for x in run), run[0].b, run[-1].b + run[-1].size
+            # a run is mostly shared words; a chance chain of short phrases is not
+            if same >= RUN_WORDS and max(x.size for x in run) >= 4 and same >= 0.6 * (last - first):
+                marked[first:last] = True
+            run = []
+        if b is not None:
+            run.append(b)
+
+
+def chains(hits: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int]]]:
+    """Sorted hits (document position, item position), parted by diagonal: each joins the chain that ends nearest to its own."""
+    done, live = [], []
+    for d, q in hits:
+        done += [c for c in live if d - c[-1][0] > reach]
+        live = [c for c in live if d - c[-1][0] <= reach]
+        off = lambda c: abs((d - q) - (c[-1][0] - c[-1][1]))  # noqa: B023, E731
+        best = min(live, key=off, default=None)
+        if best is not None and off(best) <= GAP_WORDS:
+            best.append((d, q))
+        else:
+            live.append([(d, q)])
+    return done + live
+
+
+def band(doc: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, list[int], list[int]]:
+    """(start, words, item's words): the stretch of doc that item covers on the diagonals low to high; words without a partner there are -1 and -2."""
+    lo, hi = max(0, low), min(len(doc), high + len(item))
+    part = doc[lo:hi]
+    ours, theirs = np.zeros(len(part), dtype=bool), np.zeros(len(item), dtype=bool)
+    for off in range(low - lo, high - lo + 1):  # item word q against word q + off of the part
+        q0, q1 = max(0, -off), min(len(item), len(part) - off)
+        if q0 < q1:
+            same = item[q0:q1] == part[q0 + off : q1 + off]
+            ours[q0 + off : q1 + off] |= same
+            theirs[q0:q1] |= same
+    return lo, np.where(ours, part, -1).tolist(), np.where(theirs, item, -2).tolist()
+
+
 def covered(doc: np.ndarray, item: np.ndarray, spans: list, hits: list[tuple[int, int]]) -> int:
     """Characters of the item in the runs that the document reproduces around the hits.
 
     Hits are grouped where they lie close in the document; each stretch, widened by the item's length
-    at most, is aligned with the item. Blocks less than GAP_WORDS apart on both sides join into a run.
+    at most, is aligned with the item. That counts runs in the item's order only, so where not all of
+    the item is marked, each chain of hits is aligned by itself as well, on the diagonals around it.
     """
     marked = np.zeros(len(item), dtype=bool)
     hits = sorted(set(hits))
@@ -100,19 +147,15 @@ def covered(doc: np.ndarray, item: np.ndarray, spans: list, hits: list[tuple[int
         lo = min(lo, g[0][0])
         lo = max(lo, g[0][0] - len(item))
         hi = min(len(doc), g[-1][0] + len(item))
-        blocks = difflib.SequenceMatcher(None, doc[lo:hi].tolist(), item.tolist(), autojunk=False).get_matching_blocks()
-        run: list = []
-        for b in [*blocks, None]:
-            if b is not None and b.size == 0:
-                continue
-            if run and (b is None or b.a - (run[-1].a + run[-1].size) > GAP_WORDS or b.b - (run[-1].b + run[-1].size) > GAP_WORDS):
-                same, first, last = sum(x.size for x in run), run[0].b, run[-1].b + run[-1].size
-                # a run is mostly shared words; a chance chain of short phrases is not
-                if same >= RUN_WORDS and max(x.size for x in run) >= 4 and same >= 0.6 * (last - first):
-                    marked[first:last] = True
-                run = []
-            if b is not None:
-                run.append(b)
+        mark(marked, difflib.SequenceMatcher(None, doc[lo:hi].tolist(), item.tolist(), autojunk=False).get_matching_blocks())
+    for c in chains(hits, len(item)):
+        if all(marked[q] for _, q in c):
+            continue
+        diagonals = [d - q for d, q in c]
+        low, high = min(diagonals) - GAP_WORDS, max(diagonals) + GAP_WORDS
+        lo, ours, theirs = band(doc, item, low, high)
+        blocks = difflib.SequenceMatcher(None, ours, theirs, autojunk=False).get_matching_blocks()
+        mark(marked, [b for b in blocks if low <= lo + b.a - b.b <= high])
     total, k = 0, 0
     while k < len(item):
         if marked[k]:
