@@ -113,6 +113,30 @@ def test_blocks_split_where_hot(spark):
     assert got == {(i, j) for i in range(60) for j in range(60) if i % 4 == j % 4} | {(99, 99)}
 
 
+def test_hot_blocks_keep_every_pair(spark):
+    a = spark.createDataFrame([(i, "hot") for i in range(60)] + [(1, "warm"), (99, "cold"), (98, None)], "ida int, key string")
+    b = spark.createDataFrame([(i, "hot") for i in range(70)] + [(i, "warm") for i in range(100, 170)] + [(99, "cold"), (98, None)], "idb int, key string")
+    hot, linkage.HOT = linkage.HOT, 50
+    try:
+        got = [tuple(r) for r in linkage.blocked(a, b).collect()]
+    finally:
+        linkage.HOT = hot
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(60) for j in range(70)} | {(1, j) for j in range(100, 170)} | {(99, 99)}
+
+
+def test_firms_in_hot_blocks_are_found(spark):
+    """Rows without a postal code and assignees without a line keep their pairs where all keys are hot."""
+    c = [(1, "Kodu Tibika Labs", None, "Rome, Ohio, United States", None, "Omar Maris", None)]
+    i = [("0000000001", "acc1", "KODU TIBIKA LABS INC", "Rome", "OH", "10001", None), ("0000000001", "acc2", "KODU TIBIKA LABS INC", "Rome", "OH", "20001", None)]
+    t = _tables(spark, (c, i, [("acc1", "Omar Maris")], [(7, "Kodu Tibika", None)]))
+    hot, linkage.HOT = linkage.HOT, 0.5
+    try:
+        got = {(r.org_id, r.source, r.source_key) for r in linkage.link_organisations(*t).collect()}
+    finally:
+        linkage.HOT = hot
+    assert got == {(1, "issuers", "0000000001"), (1, "patent_assignees", "7")}
+
+
 def _tables(spark, rows):
     c, i, p, a = rows
     return (
