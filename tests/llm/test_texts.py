@@ -82,6 +82,12 @@ def test_residue(spark):
     assert residue.score_pages(df.where("false"), residue.train(df.where("false"))).count() == 0
 
 
+def test_hashes_use_the_whole_range():
+    at = np.concatenate([residue.features(chr(97 + i % 26) * (1 + i // 26 % 26) + chr(97 + i // 676), False)[0] for i in range(10_000)])
+    at = set(at[at >= 32].tolist())
+    assert len(at) > 9_000 and max(at) < 1 << residue.BITS
+
+
 def test_undisguise():
     assert [abuse.undisguise(w) for w in ("c0nn@rd,", "$w1n3:", "youuu", "m3rd3.", "42", "42%", "Fine!")] == ["connard", "swine", "you", "merde", "0", "0", "fine"]
     assert abuse.words_of("you f i l t h y crook") == ["you", "filthy", "crook"]

@@ -24,6 +24,8 @@ from tidemark.session import ship
 ship(sys.modules[__name__])
 
 BITS, SAMPLE, HOLD_OUT, ONE, L2, STEPS, MENTION = 18, 80_000, 10, 1, 2e-5, 160, 8.0
+#: The first indexes, kept for what isn't hashed.
+DENSE = 32
 # Phrases that mark template slots, filler, errors, host notices, script and browser demands.
 SLOTS = (
     r"\{\{[^}]*\}\}|\$\{\w+\}|<%=?|%[A-Z_]{4,}%|__[A-Z_]{4,}__|\[[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)+\]|\bX{3,}\b|\{[a-z_.]+\}|<[^<>]{2,40}>"
@@ -76,10 +78,10 @@ def features(s: str, first: bool) -> tuple[np.ndarray, np.ndarray]:
     toks = ["0" if t[0].isdigit() else t.lower() for t in raw]
     caps = sum(t.isupper() and len(t) > 3 for t in raw)
     signs = sum(not t[0].isalnum() for t in raw)
-    crc, mask = zlib.crc32, (1 << BITS) - 64
-    got = {crc(t.encode()) & mask for t in toks}
-    got.update(crc((a + " " + b).encode()) & mask for a, b in zip(toks, toks[1:]))
-    idx = np.fromiter((g + 32 for g in got), dtype=np.int64, count=len(got))
+    crc, room = zlib.crc32, (1 << BITS) - DENSE
+    got = {crc(t.encode()) % room for t in toks}
+    got.update(crc((a + " " + b).encode()) % room for a, b in zip(toks, toks[1:]))
+    idx = np.fromiter((g + DENSE for g in got), dtype=np.int64, count=len(got))
     val = np.full(len(idx), 1.0 / np.sqrt(max(1, len(idx))), dtype=np.float32)
     n = max(1, len(toks))
     dense = np.array([1.0, min(3.0, np.log1p(n)) / 3, n <= 3, first, caps / n, signs / n], dtype=np.float32)
