@@ -116,3 +116,24 @@ def test_entry_contract():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert {"p2_found", "p4_found"} <= set(e.queries())
+
+
+def test_evaluation_has_the_listed_size(spark, monkeypatch):
+    from inspect import signature
+
+    from tidemark.operators import metrics, models
+    from tidemark.plans import analytics
+
+    forest, boosted = models.model("random_forest", 9), models.model("boosted_trees", 9)
+    assert forest.getNumTrees() == 500 and (boosted.getMaxIter(), boosted.getStepSize()) == (100, 0.05)
+    assert signature(metrics.bootstrap_auc).parameters["replicates"].default == 1000
+    rows = [(i, "x", *[float(i % 7)] * len(analytics.MODEL_FEATURES), int(i % 4 == 0)) for i in range(60)]
+    names = {"s": "edgar_filings_preA", "w": "wayback_snapshots_12m_preA", "founders": "`Number of Founders`"}
+    cols = ", ".join(f"{names.get(c, c)} double" for c in analytics.MODEL_FEATURES)
+    df = spark.createDataFrame(rows, f"final_id bigint, Organization_Name string, {cols}, label int")
+    monkeypatch.setattr(analytics, "load", lambda *a: df)
+    x = analytics._model_input(spark, "")
+    assert {r.fold: (r.n, r.p) for r in x.groupBy("fold").agg(F.count("row_id").alias("n"), F.sum("label").alias("p")).collect()} == {k: (12, 3) for k in range(5)}
+    assert set(analytics.MODEL_FEATURES) <= set(x.columns) and len(analytics.MODEL_FEATURES) == 10
+    sets = {(g, how): use for g, how, use in analytics.ablation_sets()}
+    assert len(sets) == 24 and sets["Packages", "cumulative"] == analytics.MODEL_FEATURES and sets["Form D", "without"] == analytics.MODEL_FEATURES[1:]

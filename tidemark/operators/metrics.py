@@ -102,7 +102,7 @@ def univariate_audit(df: DataFrame, features: Sequence[str], label: str, fold: s
     return auc.join(rest, "feature")
 
 
-def bootstrap_auc(df: DataFrame, score: str, label: str, row_id: str, replicates: int = 200) -> DataFrame:
+def bootstrap_auc(df: DataFrame, score: str, label: str, row_id: str, replicates: int = 1000) -> DataFrame:
     """(lo, hi): the middle 95 % of the AUC over resamples by Poisson weights drawn from a hash of row and replicate."""
     u = (F.pmod(F.xxhash64(row_id, "_r"), F.lit(1_000_003)) + 0.5) / 1_000_003
     # cumulative Poisson(1): 0.3679, 0.7358, 0.9197, 0.9810, 0.9963

@@ -21,8 +21,8 @@ def model(kind: str, rows: int):
         l1 = kind.endswith("l1")
         return LogisticRegression(elasticNetParam=float(l1), regParam=1 / ((0.05 if l1 else 0.1) * max(1, rows)), **common)
     if kind == "random_forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=3, minInstancesPerNode=2, seed=42, **common)
-    return GBTClassifier(maxIter=20, maxDepth=2, stepSize=0.1, subsamplingRate=0.8, seed=42, **common)
+        return RandomForestClassifier(numTrees=500, maxDepth=3, minInstancesPerNode=2, seed=42, **common)
+    return GBTClassifier(maxIter=100, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, seed=42, **common)
 
 
 def cross_validated(df: DataFrame, features: Sequence[str], kind: str, folds: int, label: str = "label") -> DataFrame:

@@ -594,36 +594,52 @@ def bootstrap_ci(spark, d):
     return metrics.bootstrap_auc(_scored(spark, d), "s", "y", "final_id")
 
 
-def _model_input(spark, d):
-    x = _scored(spark, d)
-    f = load(spark, d, "final_dataset").select("final_id", "deeptech_llm_score", "name_word_count", F.col("Number of Founders").alias("founders"), "seriesA_amount_usd_millions")
-    return x.join(f, "final_id").withColumnsRenamed({"final_id": "row_id", "y": "label"})
+#: The reference's sources of features, strongest first, with those of its features that the tables hold.
+SOURCES = {
+    "Form D": ["seriesA_amount_usd_millions"], "Crunchbase": ["age_at_seriesA_years", "founders", "name_word_count"], "Wayback Machine": ["w"],
+    "LLM (deeptech)": ["deeptech_llm_score"], "GDELT News": ["gdelt_mentions_3m_preA"], "EDGAR SEC": ["s"], "Hacker News": ["hn_mention_count_preA"],
+    "Packages": ["pkg_before_seriesA"],
+}
+MODEL_FEATURES = [c for cols in SOURCES.values() for c in cols]
+FOLDS = 5
 
 
-MODEL_FEATURES = ["s", "w", "deeptech_llm_score", "name_word_count", "founders", "seriesA_amount_usd_millions"]
+def _model_input(spark, d):
+    """Rows with all numeric features, dealt into stratified folds."""
+    x = _scored(spark, d).drop("fold")
+    f = load(spark, d, "final_dataset").withColumnRenamed("Number of Founders", "founders").select("final_id", *[c for c in MODEL_FEATURES if c not in x.columns])
+    x = metrics.stratified_folds(x.join(f, "final_id"), "y", F.struct(F.md5(F.col("final_id").cast("string")), "final_id"), FOLDS)
+    return x.withColumnsRenamed({"final_id": "row_id", "y": "label"})
 
 
 @query()
 def cv_models(spark, d):
     """Out-of-fold AUC of each kind of model."""
     out = None
-    x = _model_input(spark, d).withColumn("fold", F.col("row_id") % 3)
+    x = _model_input(spark, d)
     for kind in ("logistic_l2", "logistic_l1", "random_forest", "boosted_trees"):
-        a = metrics.roc_auc(models.cross_validated(x, MODEL_FEATURES, kind, 3), "score", "label").withColumn("model", F.lit(kind))
+        a = metrics.roc_auc(models.cross_validated(x, MODEL_FEATURES, kind, FOLDS), "score", "label").withColumn("model", F.lit(kind))
         out = a if out is None else out.unionByName(a)
     return out
 
 
+def ablation_sets() -> list[tuple[str, str, list[str]]]:
+    """(source, how, features): each source alone, with all before it, and left out."""
+    out, so_far = [], []
+    for g, cols in SOURCES.items():
+        so_far = so_far + cols
+        out += [(g, "alone", cols), (g, "cumulative", so_far), (g, "without", [c for c in MODEL_FEATURES if c not in cols])]
+    return out
+
+
 @query()
 def source_ablation(spark, d):
-    """AUC with each source of features alone and left out."""
-    groups = {"filings": ["s"], "archive": ["w"], "profile": ["deeptech_llm_score", "name_word_count", "founders"], "amount": ["seriesA_amount_usd_millions"]}
-    x = _model_input(spark, d).withColumn("fold", F.col("row_id") % 2)
+    """AUC with each source of features alone, added to those before it, and left out."""
+    x = _model_input(spark, d)
     out = None
-    for g, cols in groups.items():
-        for how, use in (("alone", cols), ("without", [c for c in MODEL_FEATURES if c not in cols])):
-            a = metrics.roc_auc(models.cross_validated(x, use, "logistic_l2", 2), "score", "label").withColumns({"source": F.lit(g), "how": F.lit(how)})
-            out = a if out is None else out.unionByName(a)
+    for g, how, use in ablation_sets():
+        a = metrics.roc_auc(models.cross_validated(x, use, "logistic_l2", FOLDS), "score", "label").withColumns({"source": F.lit(g), "how": F.lit(how)})
+        out = a if out is None else out.unionByName(a)
     return out
 
 
