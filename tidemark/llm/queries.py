@@ -47,13 +47,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of seen and unseen hosts: how many are residue, and how clear the scores are."""
+    """How well the decisions agree with the weak labels, on hosts that the classifier was fitted to and on unseen ones."""
     pages = load(spark, d, "wayback_pages")
-    scored = residue.score_pages(pages, residue.train(pages))
-    return scored.groupBy((F.col("fold") == 0).alias("unseen")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("residue").cast("double")).alias("share"),
-        F.avg((F.abs("score") < 1).cast("double")).alias("unclear"),
-    )
+    return residue.validate(residue.score_pages(pages, residue.train(pages)))
 
 
 def _abuse_scores(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
