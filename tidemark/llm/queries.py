@@ -27,6 +27,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(_claims(spark, d), ["accession", "cik"], _trust(spark, d)).select("accession", "cik", "field", "value")
 
 
+def p6_voted(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record by the votes alone, with the posterior of each value."""
+    got = fusion.fuse(_claims(spark, d), ["accession", "cik"], _trust(spark, d), prior="none")
+    return got.select("accession", "cik", "field", "value", F.round("posterior", 6).alias("posterior"))
+
+
 def p6_sources(spark: SparkSession, d: str) -> DataFrame:
     """Estimated accuracy of each source, and of its dependences the greatest."""
     base = _claims(spark, d).withColumn("key", fusion._key())
@@ -145,7 +151,7 @@ def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs,
-    "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p5_found": p5_found, "p6_found": p6_found, "p6_sources": p6_sources,
+    "p3_found": p3_found, "p3_unseen_hosts": p3_unseen_hosts, "p5_found": p5_found, "p6_found": p6_found, "p6_voted": p6_voted, "p6_sources": p6_sources,
     "p7_packed": p7_packed, "p7_bounds": p7_bounds, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
