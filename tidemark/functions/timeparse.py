@@ -182,5 +182,5 @@ def with_readings(df: DataFrame, value: str, zone: str, order: str, zones: list[
 
 SCRATCH = set("_s _timed _packed _h _mi _sec _pm _date _named _clock _kind _oh _om _sign _y _m _d _one _two _days _min _region _unit _epoch _utc".split())
 
-#: Cost of a reading against its source's declared convention: above all that switches and jumps can add.
-AGAINST = 1e6
+#: Cost of a reading against its source's declared convention: more than switches and jumps on both sides can save.
+AGAINST = 20.0
