@@ -110,7 +110,23 @@ def test_blocks_split_where_hot(spark):
         got = {tuple(r) for r in linkage.blocked(a, b).collect()}
     finally:
         linkage.HOT = hot
-    assert got == {(i, j) for i in range(60) for j in range(60) if i % 4 == j % 4} | {(99, 99)}
+    assert got == {(i, j) for i in range(60) for j in range(60)} | {(99, 99)}
+
+
+def test_short_names_have_keys(spark):
+    """Names of any length meet their equals, and those of fewer than eight letters also what is one slip away."""
+    rnd = random.Random(8)
+    names_ = sorted({"".join(rnd.choice("abcde") for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7) for _ in range(12)})
+    df = spark.createDataFrame(list(enumerate(names_)), "id bigint, core string")
+    got = {tuple(r) for r in linkage.blocked(linkage._keys(df, "id", "ida", "core"), linkage._keys(df, "id", "idb", "core")).collect()}
+    want = {(i, j) for i, x in enumerate(names_) for j, y in enumerate(names_) if names.edits(x, y, 1) <= 1}
+    assert want <= got and all((i, i) in got for i in range(len(names_)))
+    assert linkage._keys(spark.createDataFrame([(1, None), (2, "")], "id bigint, core string"), "id", "ida", "core").count() == 0
+
+
+def test_short_forms_of_several_names():
+    assert set(linkage.person_keys("Ted Maris")) & set(linkage.person_keys("Theodore Maris")) and set(linkage.person_keys("Charlie Maris")) & set(linkage.person_keys("Charles Maris"))
+    assert linkage.person_keys("Maris") == [] and linkage.person_keys("") == []
 
 
 def test_hot_blocks_keep_every_pair(spark):
@@ -140,9 +156,9 @@ def test_firms_in_hot_blocks_are_found(spark):
 def _tables(spark, rows):
     c, i, p, a = rows
     return (
-        spark.createDataFrame(c, "org_id bigint, name string, domain string, hq string, postal string, founders string, founded date"),
+        spark.createDataFrame(c, "org_id bigint, name string, domain string, hq string, postal string, founders string, founded date").withColumn("subject", F.lit(None).cast("array<bigint>")),
         spark.createDataFrame(i, "cik string, accession string, name string, city string, state string, zip string, seen date"),
-        spark.createDataFrame(p, "accession string, name string"), spark.createDataFrame(a, "row bigint, name string, filed date"),
+        spark.createDataFrame(p, "accession string, name string"), spark.createDataFrame(a, "row bigint, name string, filed date").withColumn("subject", F.lit(None).cast("array<bigint>")),
     )
 
 

@@ -107,7 +107,7 @@ def _organisations(spark: SparkSession, d: str) -> DataFrame:
         load(spark, d, "companies").select(
             "org_id", norm_null("Organization_Name").alias("name"), domain_norm("domain_clean").alias("domain"),
             norm_null("Headquarters Location").alias("hq"), norm_null("Postal Code").alias("postal"), norm_null("Founders").alias("founders"),
-            F.col("Founded Date").alias("founded"),
+            F.col("Founded Date").alias("founded"), linkage.subject_words("Industries", "Description", "`Full Description`").alias("subject"),
         ),
         load(spark, d, "issuers").select(
             cik10("CIK").alias("cik"), accession("ACCESSIONNUMBER").alias("accession"), norm_null("ENTITYNAME").alias("name"),
@@ -119,7 +119,7 @@ def _organisations(spark: SparkSession, d: str) -> DataFrame:
         ),
         load(spark, d, "patent_assignees").select(
             F.col("assignee_row_id").alias("row"), norm_null("assignee_name").alias("name"),
-            F.to_date(F.col("last_filing").cast("string"), "yyyyMMdd").alias("filed"),
+            F.to_date(F.col("last_filing").cast("string"), "yyyyMMdd").alias("filed"), linkage.subject_words("sample_titles").alias("subject"),
         ),
     )
 
