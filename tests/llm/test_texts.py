@@ -153,6 +153,26 @@ def test_abuse_held_out(spark):
     assert abuse.score(d, none).where(f"score >= {t}").count() == 0
 
 
+def test_wrong_labels_are_not_learnt_by_heart():
+    """Names that occur only in mislabelled documents don't become signs of abuse; and few labels never tune their own threshold."""
+    rnd = random.Random(2)
+    name = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4))
+    nice = lambda: f"{name()} {name()} builds a quiet pump that helps nurses plan routes in {name()} every week"
+    texts, y, truth = [], [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        texts.append(nice() + (". You filthy worthless crook, " + name() if bad else ". Nice work, " + name()) + ". " + nice())
+        truth.append(int(bad))
+        y.append(int(bad) ^ (i % 19 == 0))
+    y, truth = np.array(y), np.array(truth)
+    held = np.arange(400) % 5 == 0
+    net, threshold, _ = abuse.train_model(texts, y, held)
+    got = abuse.Scorer(net).texts(texts) >= threshold
+    assert (got == (truth == 1)).mean() > 0.95
+    wrong = (y == 1) & (truth == 0) & ~held
+    assert wrong.sum() > 10 and got[wrong].sum() <= 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=40))
 def test_best_fit(sizes):

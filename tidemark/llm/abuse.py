@@ -6,12 +6,15 @@ and undisguised. Two GRUs read each window of WINDOW words in both directions; a
 states; a logistic unit scores the window. All overlapping windows (STRIDE words apart) of a text are
 scored whole; the document's score is the greatest.
 
-Labels are given to documents, by raters who err: a document's label is its raters' majority. Training
-alternates between picking windows (of a labelled document the likeliest one, of an unlabelled one the
-likeliest and random ones; first by naive Bayes over words and word pairs, then by the network) and
-fitting them; documents that the network plainly contradicts are left out from the second round on. At
-most TRAIN_DOCS rated documents are used, drawn by a hash of their id; the threshold is set on a held-out
-fifth of them.
+Labels are given to documents, by raters who err: a document's label is its raters' majority. The rated
+documents are halved, and a network is fitted to each half in ROUNDS of STEPS steps. A round picks windows (of a
+document with such content the likeliest one, of another the two likeliest and random ones) by the scores of
+the other half's network, before the first round of the other half's naive Bayes over words and word pairs;
+from the second round on, documents whose label is likelier wrong than right by that network's scores are left out. So a
+wrong label is never defended by the network that learnt it by heart. The final network is fitted anew, in LAST
+steps, to what is left of both halves. At most TRAIN_DOCS rated documents are used, drawn by a hash of their
+id; the threshold is set on a held-out fifth of them, or is 0.5 where that fifth is too small.
+All numbers of steps are the same at every size.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ ship(sys.modules[__name__])
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS, DW, DC, H = 1 << 14, 1 << 13, 24, 16, 24
-TRAIN_DOCS, ROUNDS, EPOCHS, BATCH, RATE, NEGATIVES, RARE = 9000, 4, 3, 128, 4e-3, 4, 4.0
+TRAIN_DOCS, ROUNDS, STEPS, LAST, BATCH, RATE, NEGATIVES, RARE = 9000, 3, 250, 900, 128, 4e-3, 4, 4.0
+#: Raters' rate of errors; fewest positives to set a threshold on.
+NOISE, LEAST = 0.05, 15
+#: Difference of F1 that a held-out fifth can't tell from chance.
+TIE = 0.01
 # Letters written as digits and signs.
 LEET = str.maketrans("013457@$!|€", "oieastasiie")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -118,6 +125,13 @@ def _sig(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def _gather(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indexes of at, and the sums of their values' rows."""
+    order = np.argsort(at, kind="stable")
+    met, starts = np.unique(at[order], return_index=True)
+    return met, np.add.reduceat(values[order], starts, axis=0)
+
+
 class Net:
     """Parameters in p; forward for scoring, step for training."""
 
@@ -209,7 +223,7 @@ class Net:
         dx = np.zeros_like(x)
         for j, k in enumerate("fb"):
             U = self.p[f"U{k}"]
-            gp = np.zeros((len(uniq), 3 * H), np.float32)
+            gates_at = np.empty((win.shape[1], win.shape[0], 3 * H), np.float32)
             gU = np.zeros_like(U)
             dh = np.zeros((win.shape[0], H), np.float32)
             for i, h, z, r, c, gn in reversed(tape[k]):
@@ -220,32 +234,33 @@ class Net:
                 dr = dc * gn * r * (1 - r)
                 gates = np.concatenate([dz, dr, dc], axis=1)
                 rec = np.concatenate([dz, dr, dc * r], axis=1)
-                np.add.at(gp, small[:, i], gates)
+                gates_at[i] = gates
                 gU += h.T @ rec
                 dh = dh * (1 - mk * (1 - z)) + rec @ U.T
+            met, sums = _gather(small.T.ravel(), gates_at.reshape(-1, 3 * H))
+            gp = np.zeros((len(uniq), 3 * H), np.float32)
+            gp[met] = sums
             gp[0] = 0
             g[f"U{k}"], g[f"W{k}"], g[f"B{k}"] = gU, x.T @ gp, gp.sum(axis=0)
             dx += gp @ self.p[f"W{k}"].T
-        g["Ew"] = np.zeros_like(self.p["Ew"])
-        np.add.at(g["Ew"], word, dx[:, :DW])
-        g["Ec"] = np.zeros_like(self.p["Ec"])
         n = np.array([len(b) for b in grams])
-        np.add.at(g["Ec"], flat, np.repeat(dx[:, DW:], n, axis=0) * share[:, None])
+        rows = {"Ew": _gather(word, dx[:, :DW]), "Ec": _gather(flat, np.repeat(dx[:, DW:], n, axis=0) * share[:, None])}
         self.t += 1
-        for k, v in g.items():
-            np.clip(v, -1, 1, out=v)
-            self.m[k] += 0.1 * (v - self.m[k])
-            self.s[k] += 0.01 * (v * v - self.s[k])
-            up = self.m[k] / (1 - 0.9**self.t) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-7)
-            self.p[k] -= self.rate * (up + (0.0 if k in ("c",) else 0.01 * self.p[k]))
+        for k, v in (g | {k: v for k, (_, v) in rows.items()}).items():
+            at = rows[k][0] if k in rows else slice(None)  # of the word vectors only those met are moved
+            v = np.clip(v, -1, 1)
+            m = self.m[k][at] = self.m[k][at] + 0.1 * (v - self.m[k][at])
+            q2 = self.s[k][at] = self.s[k][at] + 0.01 * (v * v - self.s[k][at])
+            up = m / (1 - 0.9**self.t) / (np.sqrt(q2 / (1 - 0.99**self.t)) + 1e-7)
+            self.p[k][at] -= self.rate * (up + (0.0 if k in ("c",) else 0.01 * self.p[k][at]))
         return float(-(weight * (y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9))).mean())
 
 
 class Scorer:
     """Scores texts; projections of words are kept while the vocabulary is within a limit."""
 
-    def __init__(self, net: Net):
-        self.net, self.lex = net, Lexicon()
+    def __init__(self, net: Net, lex: Lexicon | None = None):
+        self.net, self.lex = net, lex or Lexicon()
         self.proj = {k: np.zeros((0, 3 * H), np.float32) for k in "fb"}
 
     def _extend(self) -> None:
@@ -276,78 +291,105 @@ class Scorer:
         return _sig(out)
 
 
+def _first_scores(word: np.ndarray, every: np.ndarray, owner: np.ndarray, y: np.ndarray, fit: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Naive Bayes scores (the six likeliest words and word pairs) of the windows of documents ask, counted over documents fit."""
+    size = 1 << 20
+    pair = lambda w: (word[w[..., :-1]] * 40503 + word[w[..., 1:]]) % (size - WORDS) + WORDS
+    count = np.zeros((2, size), np.float32)
+    for k in np.flatnonzero(fit):
+        w = every[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right")]
+        count[int(y[k]), np.unique(np.concatenate([word[w].ravel(), pair(w).ravel()]))] += 1
+    total = np.array([(y[fit] == 0).sum(), (y[fit] == 1).sum()], dtype=np.float32)
+    ratio = np.log((count[1] + 0.5) / (total[1] + 1)) - np.log((count[0] + 0.5) / (total[0] + 1))
+    ratio = np.where(count.sum(axis=0) >= 2, ratio, 0).astype(np.float32)
+    ratio[[0, 1]] = 0
+    out = np.zeros(len(every), np.float32)
+    at = np.flatnonzero(ask[owner])
+    for i in range(0, len(at), 20_000):
+        w = every[at[i : i + 20_000]]
+        out[at[i : i + 20_000]] = np.sort(np.concatenate([ratio[word[w]], ratio[pair(w)]], axis=1), axis=1)[:, -6:].sum(axis=1)
+    return out
+
+
+def right(top: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How likely each document's label is right, given its score by a network that hasn't seen it and raters who err at a rate of
+    NOISE: the score says as much as a logistic curve through all documents' labels does, errors taken out, however weak the
+    network is."""
+    x = np.stack([np.ones(len(top)), np.clip(top, -8, 8)], axis=1)
+    b = np.zeros(2)
+    for _ in range(25):
+        p = _sig(x @ b)
+        w = p * (1 - p) + 1e-6
+        b += np.linalg.solve((x * w[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (y - p) - 1e-3 * b)
+    p = np.clip((_sig(x @ b) - NOISE) / (1 - 2 * NOISE), 1e-3, 1 - 1e-3)
+    yes, no = np.where(y == 1, p, 1 - p) * (1 - NOISE), np.where(y == 1, 1 - p, p) * NOISE
+    return yes / (yes + no)
+
+
+def _choose(rng, score: np.ndarray, at: np.ndarray, y: np.ndarray, fit: np.ndarray, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels to fit: of a document with such content its likeliest window, of another the two likeliest and random
+    ones; documents whose label is likelier wrong than right are left out."""
+    chosen, labels = [], []
+    for k in fit:
+        s = score[at[k] : at[k + 1]]
+        if trusted[k] < 0.5:
+            continue
+        picks = {int(s.argmax())} if y[k] else {*np.argsort(-s)[:2].tolist(), *rng.integers(0, len(s), NEGATIVES - 2).tolist()}
+        chosen += [at[k] + p for p in picks]
+        labels += [int(y[k])] * len(picks)
+    return np.array(chosen, dtype=int), np.array(labels, np.float32)
+
+
+def _descend(net: Net, lex: Lexicon, rng, every: np.ndarray, chosen: np.ndarray, labels: np.ndarray, steps: int) -> None:
+    """A number of steps over the chosen windows in random order, the last third of them small ones."""
+    if not 0 < labels.sum() < len(labels):
+        return
+    weight = np.where(labels == 1, max(1.0, min(4.0, 0.5 * (labels == 0).sum() / labels.sum())), 1.0).astype(np.float32)
+    order = np.concatenate([rng.permutation(len(chosen)) for _ in range(-(-steps * BATCH // len(chosen)))])
+    for k in range(steps):
+        o = order[k * BATCH : (k + 1) * BATCH]
+        net.rate = RATE * (0.3 if k > 2 * steps / 3 else 1.0)
+        net.step(lex, every[chosen[o]], labels[o], weight[o])
+
+
 def train_model(texts: list[str], y: np.ndarray, held: np.ndarray, sure: np.ndarray | None = None, seed: int = 3) -> tuple[Net, float, dict]:
     """A network fitted to the texts that aren't held out, and the threshold best on those that are.
 
-    The threshold has the greatest F1 over held-out documents with sure labels, where there are enough.
-    Raters see such content more often than the corpus has it, so documents without it count RARE times.
+    The threshold has the greatest F1 over held-out documents with sure labels, where there are LEAST positives among them; else it is 0.5, not tuned at all. Raters see such content more often than the corpus has it, so documents without it count RARE times.
     """
     rng = np.random.default_rng(seed)
     lex = Lexicon()
     docs = [windows(lex.rows(words_of(t)) or [0]) for t in texts]
-    fit = np.flatnonzero(~held)
     net, stats = Net(), {"docs": len(texts), "positive": int(y.sum())}
-    if not 0 < y[fit].sum() < len(fit):
+    half = rng.permutation(len(docs)) % 2
+    sides = [~held & (half == h) for h in (0, 1)]
+    if any(not 0 < y[s].sum() < s.sum() for s in sides):
         return net, 1.1, stats
-    # naive Bayes over words and word pairs of documents, for the first choice of windows
-    word = np.array(lex.word, dtype=np.int64)
-    size = 1 << 20
-    pair = lambda w: (word[w[..., :-1]] * 40503 + word[w[..., 1:]]) % (size - WORDS) + WORDS
-    count = np.zeros((2, size), np.float32)
-    for k in fit:
-        got = np.unique(np.concatenate([word[docs[k]].ravel(), pair(docs[k]).ravel()]))
-        count[int(y[k]), got] += 1
-    total = np.array([(y[fit] == 0).sum(), y[fit].sum()], dtype=np.float32)
-    ratio = np.log((count[1] + 0.5) / (total[1] + 1)) - np.log((count[0] + 0.5) / (total[0] + 1))
-    ratio = np.where(count.sum(axis=0) >= 2, ratio, 0).astype(np.float32)
-    ratio[[0, 1]] = 0
-
-    def bayes(w: np.ndarray) -> np.ndarray:
-        both = np.concatenate([ratio[word[w]], ratio[pair(w)]], axis=1)
-        return np.sort(both, axis=1)[:, -6:].sum(axis=1)
-
+    word, every = np.array(lex.word, dtype=np.int64), np.concatenate(docs)
     at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    every = np.concatenate(docs)
-    score = np.concatenate([bayes(every[i : i + 20_000]) for i in range(0, len(every), 20_000)])
-    best = lambda s: np.array([s[at[k] : at[k + 1]].max() for k in range(len(docs))])
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    best = lambda s: np.maximum.reduceat(s, at[:-1])
+    # every document is scored by what was fitted to the other half, so that no mislabelled one vouches for itself
+    score = sum(_first_scores(word, every, owner, y, sides[h], ~sides[h]) for h in (0, 1))
+    nets = [Net(seed + 10 + h) for h in (0, 1)]
     for r in range(ROUNDS):
-        top = best(score)
-        chosen, labels = [], []
-        for k in fit:
-            s = score[at[k] : at[k + 1]]
-            if y[k]:
-                if r and top[k] < -1.5:
-                    continue  # nothing in it looks like what the others have
-                chosen.append(at[k] + int(s.argmax()))
-                labels.append(1)
-            else:
-                if r and top[k] > 2.5:
-                    continue
-                hard = np.argsort(-s)[: 1 + (r > 0)].tolist()  # the likeliest; from the second round on two
-                picks = {*hard, *rng.integers(0, len(s), NEGATIVES - len(hard)).tolist()}
-                chosen += [at[k] + p for p in picks]
-                labels += [0] * len(picks)
-        chosen, labels = np.array(chosen), np.array(labels, np.float32)
-        ratio_pos = max(1.0, min(4.0, 0.5 * (labels == 0).sum() / max(1, labels.sum())))
-        weight = np.where(labels == 1, ratio_pos, 1.0).astype(np.float32)
-        epochs = EPOCHS if len(chosen) > 4000 else min(12, 1 + 12_000 // max(1, len(chosen)))
-        net.rate = RATE * (0.4 if r == ROUNDS - 1 else 1.0)
-        for _ in range(epochs):
-            order = rng.permutation(len(chosen))
-            for i in range(0, len(order), BATCH):
-                o = order[i : i + BATCH]
-                net.step(lex, every[chosen[o]], labels[o], weight[o])
-        sc = Scorer(net)
-        sc.lex = lex
-        score = sc.logits(every)
-    top = best(score)
-    every_doc = np.ones(len(docs), bool)
-    choices = [held & sure] * (sure is not None) + [held, every_doc]
-    check = np.flatnonzero(next(c for c in choices if y[c].sum() >= 15 or c is every_doc))
+        new = np.zeros(len(every), np.float32)
+        trusted = right(best(score), y) if r else np.ones(len(docs))
+        for h in (0, 1):
+            _descend(nets[h], lex, rng, every, *_choose(rng, score, at, y, np.flatnonzero(sides[h]), trusted), STEPS)
+            ask = np.flatnonzero(~sides[h][owner])
+            new[ask] += Scorer(nets[h], lex).logits(every[ask])
+        new[held[owner]] /= 2
+        score = new
+    _descend(net, lex, rng, every, *_choose(rng, score, at, y, np.flatnonzero(~held), right(best(score), y)), LAST)
+    check = np.flatnonzero(held if sure is None else held & sure)
+    if y[check].sum() < LEAST:
+        return net, 0.5, stats
+    top = best(Scorer(net, lex).logits(every))
     grid = np.linspace(-1, 7, 65)
     weight = np.where(y[check] == 1, 1.0, RARE)
     f1 = [2 * (y[check] * (top[check] >= g)).sum() / max(1, y[check].sum() + (weight * (top[check] >= g)).sum()) for g in grid]
-    near = np.flatnonzero(np.array(f1) >= max(f1) - 0.003)
+    near = np.flatnonzero(np.array(f1) >= max(f1) - TIE)  # the middle of what is as good within a standard error
     stats["f1"] = float(max(f1))
     return net, float(_sig(grid[near[len(near) // 2]])), stats
 
@@ -381,7 +423,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[b
         net, threshold, stats = train_model(pdf["text"].tolist(), pdf["y"].to_numpy(int), held, pdf["sure"].to_numpy(int) == 1)
         yield pd.DataFrame({"net": [net.dump()], "threshold": [threshold], "f1": [stats.get("f1", 0.0)], "docs": [stats["docs"]]})
 
-    got = sample.coalesce(1).mapInPandas(run, "net binary, threshold double, f1 double, docs bigint").first()
+    got = sample.repartition(1).mapInPandas(run, "net binary, threshold double, f1 double, docs bigint").first()
     if got is None:
         return Net().dump(), 1.1, {"docs": 0}
     return bytes(got.net), got.threshold, {"docs": got.docs, "f1": got.f1}

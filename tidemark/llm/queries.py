@@ -46,21 +46,32 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(docs, items).select("doc_id", "item_id")
 
 
+_MODELS: dict = {}
+
+
+def _fitted(what: str, fit, *tables: DataFrame):
+    """What fit gives, fitted once per session and set of files: the queries of one model share it."""
+    key = (what, tables[0].sparkSession.sparkContext.applicationId, *(f for t in tables for f in sorted(t.inputFiles())))
+    if key not in _MODELS:
+        _MODELS[key] = fit(*tables)
+    return _MODELS[key]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose text is template residue, filler, an error or a script notice."""
     pages = load(spark, d, "wayback_pages")
-    return residue.score_pages(pages, residue.train(pages)).where("residue").select("page_id")
+    return residue.score_pages(pages, _fitted("residue", residue.train, pages)).where("residue").select("page_id")
 
 
 def p3_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
     """How well the decisions agree with the weak labels, on hosts that the classifier was fitted to and on unseen ones."""
     pages = load(spark, d, "wayback_pages")
-    return residue.validate(residue.score_pages(pages, residue.train(pages)))
+    return residue.validate(residue.score_pages(pages, _fitted("residue", residue.train, pages)))
 
 
 def _abuse_scores(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
     docs = load(spark, d, "documents")
-    net, threshold, _ = abuse.train(docs, load(spark, d, "doc_labels"))
+    net, threshold, _ = _fitted("abuse", abuse.train, docs, load(spark, d, "doc_labels"))
     return abuse.score(docs, net), threshold
 
 
