@@ -7,11 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Legal endings dropped from company names.
+# Endings dropped from company names; lines of business and their keywords, the first that holds one counts.
 LEGAL_SUFFIXES = [
-    "inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "lp", "llp", "plc", "holdings", "holding",
-    "group", "the", "gmbh", "sa", "ag", "bv", "pbc", "pty", "technologies", "technology", "labs",
+    "inc", "incorporated", "llc", "l.l.c", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "sarl", "sas", "sa", "bv",
+    "holdings", "holding", "group", "partners", "partner", "technologies", "technology", "systems", "system",
 ]
+BUCKETS = {
+    "BIO": ["biotech", "biotechnology", "genetics", "life science", "medical", "pharma", "therapeutics"],
+    "HARD": ["aerospace", "industrial", "machinery", "manufacturing", "robotics", "battery", "energy", "semiconductor", "sensor", "cleantech"],
+    "FIN": ["fintech", "financial", "wealth management", "crypto", "cryptocurrency", "blockchain"],
+    "INFRA": ["cyber", "telecommunications", "quantum", "infrastructure"],
+}
+OTHER_BUCKET = "SAAS"
 
 
 def _c(c: Column | str) -> Column:
@@ -70,12 +77,14 @@ def surnames(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(_c(c), ","), last), lambda x: F.length(x) >= 2)))
 
 
-def keyword_bucket(c: Column | str, rules: Sequence[tuple[str, str]], default: str = "OTHER") -> Column:
-    """The first rule (label, pattern) that the lower-case text matches."""
-    s = F.lower(_c(c))
-    out = F.when(s.rlike(rules[0][1]), rules[0][0])
-    for label, pattern in rules[1:]:
-        out = out.when(s.rlike(pattern), label)
+def keyword_bucket(c: Column | str, rules: dict[str, Sequence[str]] | None = None, default: str = OTHER_BUCKET) -> Column:
+    """The first bucket of which a keyword occurs in the normal form of a text, else the default."""
+    t, out = norm_text(c), None
+    for label, words in (rules or BUCKETS).items():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(t, F.lit(w))
+        out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(default)
 
 

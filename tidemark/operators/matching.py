@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import company_tokens, jaccard
 
 
-def token_candidates(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str, rname: str, tokens: int = 4, most: int | None = None) -> DataFrame:
-    """(lid, rid): pairs in which right's name holds all of the first few tokens of left's.
+def token_candidates(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str, rname: str, tokens: int = 4, most: int | None = None, least: int = 2) -> DataFrame:
+    """(lid, rid): pairs in which right's name holds all of the first few tokens of left's that have at least some letters.
 
     An equi-join on exploded tokens: only the rarest of a left name's tokens is joined on, and the others
     are checked on the pair; a frequent token is never the one that makes pairs unless a name has no other.
     """
-    l = left.select(F.col(lid), F.slice(company_tokens(lname), 1, tokens).alias("_lt")).where(F.size("_lt") > 0)  # noqa: E741
+    l = left.select(F.col(lid), F.slice(F.filter(company_tokens(lname), lambda t: F.length(t) >= least), 1, tokens).alias("_lt")).where(F.size("_lt") > 0)  # noqa: E741
     r = right.select(F.col(rid), company_tokens(rname).alias("_rt"))
     posted = r.select(rid, "_rt", F.explode("_rt").alias("_t"))
     df = posted.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
@@ -53,6 +53,28 @@ def name_tier(a: Column, b: Column) -> Column:
     return F.when((a == b) | begins(a, b) | begins(b, a), 2).when(F.contains(a, b) | F.contains(b, a), 1).otherwise(0)
 
 
+def containing_names(left: DataFrame, right: DataFrame, lname: str, rname: str, gram: int = 3) -> DataFrame:
+    """left x right plus tier (see name_tier), where it isn't 0: no pair in which one name contains the other is lost.
+
+    Whatever contains a name holds all of its grams; so the shorter side is joined on the rarest of its grams, in both directions,
+    on distinct names. Names shorter than a gram are joined on the letters that they have.
+    """
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - gram + 1)), lambda i: F.substring(n, i, F.lit(gram)))
+    a, b = left.select(F.col(lname).alias("_n")).distinct(), right.select(F.col(rname).alias("_n")).distinct()
+
+    def contained(small: DataFrame, big: DataFrame) -> DataFrame:
+        """(s, b): the names of big that contain a name of small."""
+        short = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_n") - k + 1)), lambda i, k=k: F.substring(F.col("_n"), i, F.lit(k))) for k in range(1, gram)]
+        posted = big.select(F.col("_n").alias("b"), F.explode(F.array_distinct(F.concat(cut(F.col("_n")), *short))).alias("g"))
+        df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
+        asked = small.select(F.col("_n").alias("s"), F.explode(F.array_distinct(cut(F.col("_n")))).alias("g")).join(df, "g", "left")
+        rare = asked.groupBy("s").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "g")).alias("r")).where("r.f > 0").select("s", F.col("r.g").alias("g"))
+        return rare.join(posted, "g").where(F.contains("b", F.col("s"))).select("s", "b")
+
+    pairs = contained(a, b).select(F.col("s").alias(lname), F.col("b").alias(rname)).union(contained(b, a).select("b", "s")).distinct()
+    return left.join(pairs, lname).join(right, rname).withColumn("tier", name_tier(F.col(lname), F.col(rname))).where("tier > 0")
+
+
 def priority_match(passes: list[DataFrame], key: str, other: str) -> DataFrame:
     """The match of the first pass that has one for a key, with its pass and its number of rivals."""
     all_ = None

@@ -44,18 +44,6 @@ ANCHORS = "a AS (SELECT DISTINCT user_id, (SELECT max(CAST(ts AS DATE)) - 5 FROM
 
 # --- events and clusters -------------------------------------------------------------------------------
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, min(CAST(l_shipdate AS DATE)) AS first_ship,
-  round(max(l_extendedprice), 2) AS amount, count(l_orderkey) AS n_lines, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS amended
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
-def event_build(spark, d):
-    """One row per filing: earliest date, largest amount, any amendment."""
-    o, li = load(spark, d, "orders"), load(spark, d, "lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey, "left").groupBy("o_orderkey", F.col("o_orderdate").cast("date").alias("day")).agg(
-        F.min(F.col("l_shipdate").cast("date")).alias("first_ship"), F.round(F.max("l_extendedprice"), 2).alias("amount"),
-        F.count("l_orderkey").alias("n_lines"), F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("amended"),
-    )
-
-
 CLUSTERS = """WITH RECURSIVE x AS (SELECT DISTINCT o_custkey e, CAST(o_orderdate AS DATE) d FROM orders),
 r AS (SELECT e, min(d) s FROM x GROUP BY e UNION ALL SELECT r.e, min(x.d) FROM r JOIN x ON x.e = r.e AND x.d > r.s + 120 GROUP BY r.e, r.s),
 c AS (SELECT o_custkey e, o_orderkey, o_totalprice amount, CAST(o_orderdate AS DATE) d,
@@ -74,50 +62,6 @@ def anchored_clusters(spark, d):
     return _clusters(spark, d)
 
 
-@query(CLUSTERS + """, w AS (SELECT *, amount / greatest(lag(amount) OVER (PARTITION BY e ORDER BY cluster_start), 1) step,
-  date_diff('day', min(cluster_start) OVER (PARTITION BY e), cluster_start) / 365.25 age FROM g),
-z AS (SELECT *, exp(-0.5 * power((amount - 200000) / 150000, 2)) * CASE WHEN age < 1.5 THEN 0.4 WHEN age < 2 THEN 0.7 WHEN age <= 4 THEN 1.0 WHEN age <= 6 THEN 0.8 ELSE 0.5 END
-  * CASE WHEN coalesce(step, 1) >= 3 THEN 1.5 WHEN coalesce(step, 1) >= 2 THEN 1.2 WHEN coalesce(step, 1) < 0.5 THEN 0.6 ELSE 1.0 END score FROM w),
-b AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY round(score, 9) DESC, cluster_start) rn FROM z),
-o AS (SELECT b.e, c.cluster_start, c.amount, c.n, row_number() OVER (PARTITION BY b.e ORDER BY round(c.score, 9) DESC, c.cluster_start) k
-  FROM b JOIN b c ON c.e = b.e AND c.rn > 1 AND c.cluster_start > b.cluster_start AND c.age BETWEEN 1.5 AND 6
-   AND round(c.score, 9) >= CASE WHEN b.age < 2 THEN 0.4 ELSE 0.7 END * round(b.score, 9) WHERE b.rn = 1)
-SELECT b.e, coalesce(o.cluster_start, b.cluster_start) AS anchor, coalesce(o.amount, b.amount) AS amount, coalesce(o.n, b.n) AS n, o.e IS NOT NULL AS overridden
-FROM b LEFT JOIN o ON o.e = b.e AND o.k = 1 WHERE b.rn = 1""")
-def anchor_pick(spark, d):
-    """Each entity's anchor event: best-scored cluster, or a later one that comes close enough."""
-    w = sequences.Window.partitionBy("e")
-    c = _clusters(spark, d).withColumns({
-        "step": F.col("amount") / F.greatest(F.lag("amount").over(w.orderBy("cluster_start")), F.lit(1.0)),
-        "age": N.years_between(F.col("cluster_start"), F.min("cluster_start").over(w)),
-    })
-    by_age = F.when(F.col("age") < 1.5, 0.4).when(F.col("age") < 2, 0.7).when(F.col("age") <= 4, 1.0).when(F.col("age") <= 6, 0.8).otherwise(0.5)
-    step = F.when(F.col("step").isNull(), 1.0).otherwise(F.col("step"))
-    by_step = F.when(step >= 3, 1.5).when(step >= 2, 1.2).when(step < 0.5, 0.6).otherwise(1.0)
-    c = c.withColumn("score", F.round(N.gaussian("amount", 200000, 150000) * by_age * by_step, 9))
-    c = c.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "cluster_start")))
-    cols = ["cluster_start", "amount", "n", "score", "age"]
-    best = c.where("rn = 1").select("e", *[F.col(x).alias(f"b_{x}") for x in cols])
-    rest = c.where("rn > 1").join(best, "e").where(
-        (F.col("cluster_start") > F.col("b_cluster_start")) & F.col("age").between(1.5, 6)
-        & (F.col("score") >= F.when(F.col("b_age") < 2, 0.4).otherwise(0.7) * F.col("b_score"))
-    )
-    over = rest.groupBy("e").agg(F.max(F.struct("score", (-F.unix_date("cluster_start")).alias("k"), "cluster_start", "amount", "n")).alias("o"))
-    return best.join(over, "e", "left").select(
-        "e", F.coalesce("o.cluster_start", "b_cluster_start").alias("anchor"), F.coalesce("o.amount", "b_amount").alias("amount"),
-        F.coalesce("o.n", "b_n").alias("n"), F.col("o").isNotNull().alias("overridden"),
-    )
-
-
-@query(CLUSTERS + """, f AS (SELECT e, min(cluster_start) a FROM g GROUP BY e)
-SELECT g.e, min(g.cluster_start) AS next_start FROM g JOIN f ON f.e = g.e AND g.cluster_start > f.a WHERE g.amount BETWEEN 100000 AND 400000 GROUP BY 1""")
-def series_b_pick(spark, d):
-    """The first cluster after the first one whose amount lies in a band."""
-    c = _clusters(spark, d)
-    first = c.groupBy("e").agg(F.min("cluster_start").alias("a"))
-    return c.join(first, "e").where((F.col("cluster_start") > F.col("a")) & F.col("amount").between(100000, 400000)).groupBy("e").agg(F.min("cluster_start").alias("next_start"))
-
-
 # --- as-of -----------------------------------------------------------------------------------------------
 
 THIRD = "t AS (SELECT o_custkey e, CAST(o_orderdate AS DATE) anchor FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) rn FROM orders) WHERE rn = 3)"
@@ -227,16 +171,17 @@ def like_prefix_join(spark, d):
     return matching.prefix_join(t, v, "target", "value", [" INC", " CO", ","])
 
 
-@query("""WITH c AS (SELECT org_id, trim(regexp_replace(regexp_replace(lower(trim(Organization_Name)), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) n FROM companies),
-i AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(trim(ENTITYNAME)), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) m FROM issuers WHERE ENTITYNAME IS NOT NULL)
-SELECT org_id, m AS issuer_name, CASE WHEN n = m THEN 2 WHEN starts_with(m, n || ' ') OR starts_with(n, m || ' ') THEN 2 ELSE 1 END AS tier
-FROM c JOIN i ON split_part(n, ' ', 1) = split_part(m, ' ', 1) AND n <> '' AND m <> '' WHERE n = m OR contains(m, n) OR contains(n, m)""")
+NAMED = """c AS (SELECT org_id, trim(regexp_replace(regexp_replace(lower(trim(Organization_Name)), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) n FROM companies),
+i AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(trim(ENTITYNAME)), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) m FROM issuers WHERE ENTITYNAME IS NOT NULL)"""
+
+
+@query(f"""WITH {NAMED} SELECT org_id, m AS issuer_name, CASE WHEN n = m THEN 2 WHEN starts_with(m, n || ' ') OR starts_with(n, m || ' ') THEN 2 ELSE 1 END AS tier
+FROM c JOIN i ON n <> '' AND m <> '' AND (n = m OR contains(m, n) OR contains(n, m))""")
 def name_tier_match(spark, d):
-    """Equal, beginning and containing names, blocked on the first word."""
+    """Equal, beginning and containing names, whatever their first words."""
     c = load(spark, d, "companies").select("org_id", X.norm_text("Organization_Name").alias("n")).where("n <> ''")
     i = load(spark, d, "issuers").where("ENTITYNAME IS NOT NULL").select(X.norm_text("ENTITYNAME").alias("m")).where("m <> ''").distinct()
-    j = c.withColumn("k", F.split("n", " ")[0]).join(i.withColumn("k", F.split("m", " ")[0]), "k")
-    return j.withColumn("tier", matching.name_tier(F.col("n"), F.col("m"))).where("tier > 0").select("org_id", F.col("m").alias("issuer_name"), "tier")
+    return matching.containing_names(c, i, "n", "m").select("org_id", F.col("m").alias("issuer_name"), "tier")
 
 
 DOM = "regexp_replace(regexp_replace(regexp_replace(lower(trim({})), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^(www\\.)+', '')"
@@ -304,13 +249,15 @@ def slug_candidates(spark, d):
     return p.select(X.slug("p_name").alias("base"), F.explode(X.slug_candidates("p_name")).alias("candidate")).distinct()
 
 
-BUCKETS = [("BIO", "health|bio|medical|pharma"), ("FIN", "fintech|payments|lending|insur|banking"), ("HARD", "hardware|aerospace|robot|semicond|energy|manufactur"), ("INFRA", "cloud|security|database|developer"), ("SAAS", "saas|software|marketing|edtech")]
+def _bucket_sql(text: str) -> str:
+    norm = f"trim(regexp_replace(regexp_replace(lower(trim({text})), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({norm}, '{w}')" for w in words) + f" THEN '{k}'" for k, words in X.BUCKETS.items()) + f" ELSE '{X.OTHER_BUCKET}' END"
 
 
-@query("SELECT org_id, CASE " + " ".join(f"WHEN regexp_matches(lower(Industries), '{p}') THEN '{b}'" for b, p in BUCKETS) + " ELSE 'OTHER' END AS bucket FROM companies")
+@query(f"SELECT org_id, {_bucket_sql('Industries')} AS bucket FROM companies")
 def keyword_bucket(spark, d):
     """The first line of business whose keywords occur."""
-    return load(spark, d, "companies").select("org_id", X.keyword_bucket("Industries", BUCKETS).alias("bucket"))
+    return load(spark, d, "companies").select("org_id", X.keyword_bucket("Industries").alias("bucket"))
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(x)), lambda x: length(x) > 20) l FROM documents WHERE text IS NOT NULL),
@@ -355,13 +302,13 @@ def json_facts(spark, d):
     return e.groupBy("event_type", (F.col("k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT person_row_id, regexp_replace(upper(list_last(regexp_split_to_array(trim(LASTNAME), '\\s+'))), '[^A-Z''-]', '', 'g') AS surname FROM relatedpersons
-WHERE LASTNAME IS NOT NULL AND NOT contains(LASTNAME, ',') AND length(regexp_replace(upper(list_last(regexp_split_to_array(trim(LASTNAME), '\\s+'))), '[^A-Z''-]', '', 'g')) >= 2
- AND regexp_full_match(LASTNAME, '[A-Za-z'' -]*')""")
+@query("""WITH p AS (SELECT person_row_id r, unnest(string_split(LASTNAME, ',')) x FROM relatedpersons WHERE LASTNAME IS NOT NULL),
+s AS (SELECT DISTINCT r, regexp_replace(translate(upper(list_last(regexp_split_to_array(trim(x), '[ \\t\\n]+'))), 'ß', ''), '[^A-Z''-]', '', 'g') s FROM p)
+SELECT r AS person_row_id, string_agg(s, '|' ORDER BY s) AS surnames FROM s WHERE length(s) >= 2 GROUP BY 1""")
 def surname_extract(spark, d):
-    """Last names as matching keys."""
-    p = load(spark, d, "relatedpersons").where(F.col("LASTNAME").rlike("^[A-Za-z' -]*$"))
-    return p.select("person_row_id", F.get(X.surnames("LASTNAME"), F.lit(0)).alias("surname")).where("surname IS NOT NULL")
+    """The surnames of each cell, as matching keys."""
+    p = load(spark, d, "relatedpersons").select("person_row_id", F.array_join(X.surnames(F.translate("LASTNAME", "ß", "")), "|").alias("surnames"))
+    return p.where("surnames <> ''")
 
 
 # --- arrays, dates, numbers ------------------------------------------------------------------------------
