@@ -25,7 +25,7 @@ SURNAME_SUFFIXES = [
     "BSC", "DPHIL", "FACS", "FRCS", "MRCOG", "MRCP",
 ]
 SLUG_TLDS = ["com", "io", "ai", "co", "net", "org", "tech", "app", "dev"]
-CAREERS = ["/careers", "/jobs", "/join-us", "/hiring", "/work-with-us"]
+CAREERS = ["/careers", "/jobs", "/hiring", "/join-us", "/join"]
 
 
 def _c(c: Column | str) -> Column:

@@ -163,7 +163,7 @@ ISSUER_SQL = f"""WITH c AS (SELECT org_id, n, {_TOK.format(_norm('n'))} t, {_nor
 i AS (SELECT min(issuer_row_id) r, {_cik('CIK')} cik, {_null('ENTITYNAME')} n, {_null('CITY')} ct, {_null('STATEORCOUNTRY')} st, {_null('ZIPCODE')} zp FROM issuers GROUP BY ALL),
 j AS (SELECT *, list_distinct({_TOK.format(_norm('n'))}) t, {_norm('ct')} city, {_norm('st')} state, {_ZIP.format('zp')} zip FROM i WHERE n IS NOT NULL),
 p AS (SELECT org_id, r, cik, j.n AS issuer_name, list_distinct(c.t) a, j.t b, coalesce(c.zip <> '' AND c.zip = j.zip, false) zh, coalesce(c.city <> '' AND contains(j.city, c.city), false) ch,
-  coalesce(c.state <> '' AND contains(j.state, c.state), false) sh FROM (SELECT *, list_filter(list_distinct(t), lambda x: length(x) >= 3)[1:4] k FROM c WHERE n IS NOT NULL) c JOIN j ON len(k) > 0 AND len(list_intersect(k, j.t)) = len(k)),
+  coalesce(c.state <> '' AND contains(j.state, c.state), false) sh FROM (SELECT *, list_filter(t, lambda x, i: length(x) >= 3 AND list_position(t, x) = i)[1:4] k FROM c WHERE n IS NOT NULL) c JOIN j ON len(k) > 0 AND len(list_intersect(k, j.t)) = len(k)),
 s AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END base FROM p),
 u AS (SELECT *, CASE WHEN base < 0.5 THEN base ELSE least(1.0, base + (0.25::DOUBLE * zh::INT + 0.15::DOUBLE * ch::INT + 0.10::DOUBLE * sh::INT)) END full_ FROM s),
 v AS (SELECT *, CASE WHEN len(a) <= 1 AND NOT zh THEN least(full_, 0.5) ELSE full_ END score FROM u),
@@ -302,7 +302,7 @@ def domain_forms(spark, d):
     return c.select("org_id", M.domain_host("Website").alias("host"), M.domain_label("Website").alias("label"), M.domain_slug("Website").alias("slug"), M.registrable_domain("Website").alias("registrable"))
 
 
-@query(f"SELECT org_id, {_bucket_sql('Industries')} AS sector, regexp_matches(lower(original), '/careers|/jobs|/join-us|/hiring|/work-with-us')::INT AS careers, count(*) AS n FROM companies JOIN wayback_pages ON {_HOST.format('domain_clean_')} = {_HOST.format('original')} GROUP BY 1, 2, 3".replace("FROM companies", "FROM (SELECT org_id, Industries, domain_clean domain_clean_ FROM companies)"))
+@query(f"SELECT org_id, {_bucket_sql('Industries')} AS sector, regexp_matches(lower(original), '/careers|/jobs|/hiring|/join-us|/join')::INT AS careers, count(*) AS n FROM companies JOIN wayback_pages ON {_HOST.format('domain_clean_')} = {_HOST.format('original')} GROUP BY 1, 2, 3".replace("FROM companies", "FROM (SELECT org_id, Industries, domain_clean domain_clean_ FROM companies)"))
 def careers_flag(spark, d):
     """Captured pages per company, those where it seeks people apart."""
     c = load(spark, d, "companies").select("org_id", X.keyword_bucket("Industries").alias("sector"), M.domain_host("domain_clean").alias("h"))
