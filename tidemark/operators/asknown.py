@@ -2,9 +2,9 @@
 
 A version of an attribute counts from the moment at which it is both valid and known; from then on the
 state is the version with the latest (valid_from, known_at). Time is cut into periods. For every period
-of a key that has changes or events, the state at its start is materialised (a running maximum over the
+of a key that has changes, the state at its end is materialised (a running maximum over the
 periods' maxima: one small row per key and period, not one per change); the changes within the period
-are the log. An event takes the snapshot of its period and replays only the changes of that period that
+are the log. Both are written to the shared folder once (see snapshot_store) and serve any number of event tables. An event takes the snapshot of its period and replays only the changes of that period that
 came before it, as a running maximum over (key, period). A key that holds a third of all rows is thus
 spread over its periods, and no window ever spans a whole key's history.
 """
@@ -16,9 +16,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 PERIOD_DAYS = 30
 
 
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def _period(t: Column, days: int) -> Column:
+    return F.floor(t / (days * 86_400_000_000))
+
+
+def snapshot_store(
+    history: DataFrame, key: Sequence[str], value: str = "value", valid_from: str = "valid_from", known_at: str = "known_at", tie: str | None = None,
+    period_days: int = PERIOD_DAYS,
+) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, changes), both written: the state of each key at the end of each period in which it changed, and the changes by period."""
+    keys = [f"_k{i}" for i in range(len(key))]
+    col = lambda c: F.col(f"`{c}`")
+    order = col(tie) if tie else F.lit(None).cast("string")
+    version = F.struct(_micros(col(valid_from)).alias("v"), _micros(col(known_at)).alias("k"), order.alias("tie"), col(value).cast("string").alias("value"))
+    changes = history.select(*[col(k).alias(a) for k, a in zip(key, keys)], version.alias("state")).where(
+        " AND ".join([*(f"{k} IS NOT NULL" for k in keys), "state.v IS NOT NULL", "state.k IS NOT NULL"])
+    )
+    changes = changes.withColumn("_t", F.greatest("state.v", "state.k")).withColumn("_p", _period(F.col("_t"), period_days))
+    changes = materialize(changes, "changes")
+    upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    snapshots = changes.groupBy(*keys, "_p").agg(F.max("state").alias("state")).select(*keys, "_p", F.max("state").over(upto).alias("state"))
+    return materialize(snapshots, "snapshots"), changes
+
+
 def as_known_at(
     events: DataFrame,
     history: DataFrame,
@@ -29,6 +58,7 @@ def as_known_at(
     known_at: str = "known_at",
     tie: str | None = None,
     period_days: int = PERIOD_DAYS,
+    store: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """events plus known_value, known_valid_from and known_known_at: the version known at event_time.
 
@@ -38,34 +68,22 @@ def as_known_at(
     yields NULL. Events with a NULL key or time, and events before any version, get NULLs; versions with
     a NULL key or time are never known. Rows of events repeat as they come; empty inputs are allowed.
     Columns of history other than those named are not read; columns of events that bear the result's names
-    are replaced.
+    are replaced. store: what snapshot_store gave for this history, to use it again.
     """
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    period = lambda t: F.floor(t / (period_days * 86_400_000_000))
     keys = [f"_k{i}" for i in range(len(key))]
     col = lambda c: F.col(f"`{c}`")
-    version = F.struct(
-        seconds(col(valid_from)).alias("v"), seconds(col(known_at)).alias("k"),
-        (col(tie) if tie else F.lit(None)).cast("string").alias("tie"), col(value).cast("string").alias("value"),
-    )
-    if tie:
-        version = F.struct(version["v"].alias("v"), version["k"].alias("k"), col(tie).alias("tie"), version["value"].alias("value"))
-    changes = history.select(*[col(k).alias(a) for k, a in zip(key, keys)], version.alias("state")).where(
-        " AND ".join([*(f"{k} IS NOT NULL" for k in keys), "state.v IS NOT NULL", "state.k IS NOT NULL"])
-    )
-    changes = changes.withColumn("_t", F.greatest("state.v", "state.k")).withColumn("_p", period(F.col("_t")))
+    stored, changes = store or snapshot_store(history, key, value, valid_from, known_at, tie, period_days)
     asked = events.select(
         *[col(k).alias(a) for k, a in zip(key, keys)], F.struct(*[col(c) for c in events.columns]).alias("_row"),
-        seconds(col(event_time)).alias("_t"),
-    ).withColumn("_p", period(F.col("_t")))
+        _micros(col(event_time)).alias("_t"),
+    ).withColumn("_p", _period(F.col("_t"), period_days))
     whole = asked.where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, "_t"]))
 
-    # Snapshots: the state at the start of each period in which a key has an event.
-    per = changes.groupBy(*keys, "_p").agg(F.max("state").alias("state")).unionByName(
-        whole.select(*keys, "_p").distinct(), allowMissingColumns=True
-    ).groupBy(*keys, "_p").agg(F.max("state").alias("state"))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    snapshots = per.select(*keys, "_p", F.max("state").over(before).alias("snapshot"))
+    # The snapshot before the period of each event: the last one stored, as a running maximum over snapshots and asked periods.
+    asked_for = whole.select(*keys, "_p").distinct().withColumn("_asked", F.lit(True))
+    both = stored.unionByName(asked_for, allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy("_p").rangeBetween(Window.unboundedPreceding, -1)
+    snapshots = both.withColumn("snapshot", F.max("state").over(before)).where("_asked").select(*keys, "_p", "snapshot")
 
     # Replay: the log of a period and its events in one order of time, changes first.
     log = changes.select(*keys, "_p", "_t", "state", F.lit(0).alias("_is_event"))

@@ -59,15 +59,17 @@ def containing_names(left: DataFrame, right: DataFrame, lname: str, rname: str,
     Whatever contains a name holds all of its grams; so the shorter side is joined on the rarest of its grams, in both directions,
     on distinct names. Names shorter than a gram are joined on the letters that they have.
     """
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - gram + 1)), lambda i: F.substring(n, i, F.lit(gram)))
+    def cut(n: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - size + 1)), lambda i: F.substring(n, i, F.lit(size)))
+
     a, b = left.select(F.col(lname).alias("_n")).distinct(), right.select(F.col(rname).alias("_n")).distinct()
 
     def contained(small: DataFrame, big: DataFrame) -> DataFrame:
         """(s, b): the names of big that contain a name of small."""
-        short = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_n") - k + 1)), lambda i, k=k: F.substring(F.col("_n"), i, F.lit(k))) for k in range(1, gram)]
-        posted = big.select(F.col("_n").alias("b"), F.explode(F.array_distinct(F.concat(cut(F.col("_n")), *short))).alias("g"))
+        every = F.array_distinct(F.concat(*[cut(F.col("_n"), k) for k in range(1, gram + 1)]))
+        posted = big.select(F.col("_n").alias("b"), F.explode(every).alias("g"))
         df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-        asked = small.select(F.col("_n").alias("s"), F.explode(F.array_distinct(cut(F.col("_n")))).alias("g")).join(df, "g", "left")
+        asked = small.select(F.col("_n").alias("s"), F.explode(F.array_distinct(cut(F.col("_n"), gram))).alias("g")).join(df, "g", "left")
         rare = asked.groupBy("s").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "g")).alias("r")).where("r.f > 0").select("s", F.col("r.g").alias("g"))
         return rare.join(posted, "g").where(F.contains("b", F.col("s"))).select("s", "b")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize, parallelism
+from tidemark.session import materialize
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
@@ -16,7 +16,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     Rows are range-partitioned and written once; windows run inside the ranges and are shifted by the sums
     of the ranges before, one row per range.
     """
-    d = df.repartitionByRange(parallelism(df.sparkSession), *order).withColumns({"_b": F.spark_partition_id()} | {f"_x{n}": c for n, c in sums.items()})
+    d = df.repartitionByRange(*order).withColumns({"_b": F.spark_partition_id()} | {f"_x{n}": c for n, c in sums.items()})
     d = materialize(d, "ranges")
     total = d.groupBy("_b").agg(*[F.sum(f"_x{n}").alias(f"_t{n}") for n in sums])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,8 +52,8 @@ def curve_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr, precision): a point per distinct score."""
     s = _by_score(df, score, label, [])
     s = running_sums(s, [F.desc(score)], {"tp": F.col("_p"), "fp": F.col("_n") - F.col("_p")})
-    total = s.agg(F.max("tp").alias("tp"), F.max("fp").alias("fp")).first()
-    p, n = F.lit(total.tp or 0), F.lit(total.fp or 0)
+    total = s.agg(F.struct(F.max("tp").alias("p"), F.max("fp").alias("n")).alias("t")).scalar()
+    p, n = total["p"], total["n"]
     return s.select(
         F.col(score).alias("threshold"), "tp", "fp", F.when(p > 0, F.col("tp") / p).alias("tpr"), F.when(n > 0, F.col("fp") / n).alias("fpr"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -71,9 +71,9 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def precision_at(df: DataFrame, score: str, label: str, tie: str, shares: Sequence[float]) -> DataFrame:
     """(q, k, hits, precision) of the top shares by score; ties in order of another column."""
-    n = df.count()
-    ks = [F.struct(F.lit(float(q)).alias("q"), F.lit(max(1, int(n * q))).alias("k")) for q in shares]
+    ks = [F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1), F.floor(F.col("_all") * F.lit(float(q))).cast("int")).alias("k")) for q in shares]
     ranked = running_sums(df.select(score, tie, F.col(label).cast("bigint").alias("y")), [F.desc(score), F.col(tie)], {"rn": F.lit(1)})
+    ranked = ranked.withColumn("_all", df.agg(F.count(F.lit(1))).scalar())
     top = ranked.select("y", F.explode(F.filter(F.array(*ks), lambda x: x["k"] >= F.col("rn"))).alias("x"))
     return top.groupBy("x.q", "x.k").agg(F.sum("y").alias("hits")).withColumn("precision", F.col("hits") / F.col("k"))
 
@@ -92,19 +92,28 @@ def calibration(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:
 
 
 def univariate_audit(df: DataFrame, features: Sequence[str], label: str, fold: str) -> DataFrame:
-    """(feature, auc, coverage, corr): each feature's mean AUC over folds, in one job over unpivoted features."""
+    """(feature, auc, coverage, corr): each feature's mean AUC over folds, in one job over unpivoted features.
+
+    A feature is turned round in a fold if it falls with the label in the other folds; NULLs count as 0; a feature that never
+    varies has no AUC.
+    """
     long = df.select(label, fold, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x"))
-    long = long.select(label, fold, "x.feature", F.coalesce("x.v", F.lit(0.0)).alias("v"))
-    auc = roc_auc(long, "v", label, ["feature", fold]).groupBy("feature").agg(F.avg("auc").alias("auc"))
+    long = long.select(F.col(label).cast("double").alias("_y"), F.col(label), fold, "x.feature", F.coalesce("x.v", F.lit(0.0)).alias("v"))
+    auc = roc_auc(long, "v", label, ["feature", fold])
+    part = long.groupBy("feature", fold).agg(*[F.sum(c).alias(n) for n, c in {"n": F.lit(1.0), "x": F.col("v"), "y": F.col("_y"), "xy": F.col("v") * F.col("_y")}.items()])
+    whole = Window.partitionBy("feature")
+    other = lambda c: F.sum(c).over(whole) - F.col(c)
+    part = part.select("feature", fold, (other("n") * other("xy") < other("x") * other("y")).alias("falls"))
+    auc = auc.join(part, ["feature", fold]).groupBy("feature").agg(F.avg(F.when(F.col("falls"), 1 - F.col("auc")).otherwise(F.col("auc"))).alias("auc"))
     rest = long.groupBy("feature").agg(
-        F.avg((F.col("v") != 0).cast("double")).alias("coverage"), F.corr("v", F.col(label).cast("double")).alias("corr")
+        F.avg((F.col("v") != 0).cast("double")).alias("coverage"), F.corr("v", "_y").alias("corr"), (F.min("v") < F.max("v")).alias("varies")
     )
-    return auc.join(rest, "feature")
+    return auc.join(rest, "feature").withColumn("auc", F.when(F.col("varies"), F.col("auc"))).drop("varies")
 
 
 def bootstrap_auc(df: DataFrame, score: str, label: str, row_id: str, replicates: int = 1000) -> DataFrame:
     """(lo, hi): the middle 95 % of the AUC over resamples by Poisson weights drawn from a hash of row and replicate."""
-    u = (F.pmod(F.xxhash64(row_id, "_r"), F.lit(1_000_003)) + 0.5) / 1_000_003
+    u = (F.conv(F.substring(F.md5(F.concat_ws("-", F.col(row_id).cast("string"), F.col("_r").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
     # cumulative Poisson(1): 0.3679, 0.7358, 0.9197, 0.9810, 0.9963
     w = sum((u > x).cast("int") for x in (0.36788, 0.73576, 0.9197, 0.98101, 0.99634))
     r = df.select(F.col(row_id), F.col(score), F.col(label), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_w", w)

@@ -34,7 +34,7 @@ def anchored_clusters(events: DataFrame, entity: str, day: str, span: int = 120)
 
 
 def keep(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order, by a map-side maximum where windows would sort whole groups."""
+    """The first row of each key in the given order. Tasks keep one row per key before the shuffle, so no group is sorted whole."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
@@ -43,16 +43,16 @@ def latest_before(
 ) -> DataFrame:
     """left plus found: the struct of right's row with the latest time not after at (and, with prefer, among those preferred first).
 
-    An equi-join on the key with the inequality inside an aggregate; right is reduced map-side.
+    An equi-join on the key with the inequality inside an aggregate, over the distinct keys and times of left, so equal rows of
+    left stay apart; of right only the greatest row per task, key and time is shuffled. NULL where there is none.
     """
-    ok = F.col(f"r.{time}") <= F.col(f"l.{at}") if inclusive else F.col(f"r.{time}") < F.col(f"l.{at}")
-    cols = [c for c in right.columns if c != key]
-    tagged = right.withColumn("_pref", prefer.cast("int") if prefer is not None else F.lit(0))
-    row = F.struct(F.col("r._pref"), F.col(f"r.{time}"), *[F.col(f"r.{c}") for c in cols if c != time])
-    l = left.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in left.columns else left  # noqa: E741
-    joined = l.alias("l").join(tagged.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & ok, "left")
-    groups = [F.col(f"l.{c}") for c in left.columns]
-    return joined.groupBy(*groups).agg(F.max(F.when(F.col(f"r.{time}").isNotNull(), row)).alias("found"))
+    cols = [c for c in right.columns if c not in (key, time)]
+    row = F.struct((prefer.cast("int") if prefer is not None else F.lit(0)).alias("preferred"), F.col(time), *cols)
+    per = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(time).alias("_t")).agg(F.max(row).alias("_r"))
+    asked = left.select(F.col(key).alias("_k"), F.col(at).alias("_a")).where("_k IS NOT NULL AND _a IS NOT NULL").distinct()
+    ok = F.col("_t") <= F.col("_a") if inclusive else F.col("_t") < F.col("_a")
+    best = asked.join(per, "_k").where(ok).groupBy("_k", "_a").agg(F.max("_r").alias("found"))
+    return left.join(best, (F.col(key) == F.col("_k")) & (F.col(at) == F.col("_a")), "left").drop("_k", "_a")
 
 
 def window_counts(anchors: DataFrame, signals: DataFrame, key: str, anchor: str, day: str, spans: dict[str, tuple[int, int]]) -> DataFrame:
@@ -81,7 +81,9 @@ def merge_fragments(base: DataFrame, fragments: Sequence[DataFrame], key: str, d
     out = base
     for f in fragments:
         new = [c for c in f.columns if c == key or c not in out.columns]
-        out = out.join(keep(f.select(*new), [key], [F.col(c).desc_nulls_last() for c in new if c != key]), key, "left")
+        rest = [c for c in new if c != key]
+        one = f.groupBy(key).agg(F.max(F.struct(*rest)).alias("_f")).select(key, *[F.col("_f")[c].alias(c) for c in rest]) if rest else f.select(key).distinct()
+        out = out.join(one, key, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items() if c in out.columns})
 
 

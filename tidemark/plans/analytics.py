@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
 from tidemark.functions.keys import domain_norm
-from tidemark.operators import features, matching, metrics, models, sequences
+from tidemark.operators import evaluation, features, incremental, matching, metrics, models, sequences
 from tidemark.sources.tables import load, norm_null
 from tidemark.streaming.windows import windowed_counts
 
@@ -35,8 +35,8 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
     """Per user the anchor: five days before the last event of all."""
     e = load(spark, d, "events")
-    last = e.agg(F.date_sub(F.max(F.col("ts").cast("date")), 5).alias("anchor")).first().anchor
-    return e.select("user_id").distinct().withColumn("anchor", F.lit(last).cast("date"))
+    last = e.agg(F.date_sub(F.max(F.col("ts").cast("date")), 5)).scalar()
+    return e.select("user_id").distinct().withColumn("anchor", last)
 
 
 ANCHORS = "a AS (SELECT DISTINCT user_id, (SELECT max(CAST(ts AS DATE)) - 5 FROM events) anchor FROM events)"
@@ -93,11 +93,11 @@ def buffered_directors(spark, d):
 FROM a JOIN events e ON e.user_id = a.user_id AND CAST(ts AS DATE) <= anchor) SELECT user_id, event_id, event_type FROM r WHERE rn = 1""")
 def asof_latest_snapshot(spark, d):
     """The latest snapshot at or before the anchor, those of a kind preferred."""
-    e = load(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    e = load(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("date").alias("day"), F.col("ts").alias("at"))
     a = _anchors(spark, d)
-    e = e.join(a, "user_id").where(F.col("ts").cast("date") <= F.col("anchor"))
-    row = F.struct((F.col("event_type") == "view").alias("p"), "ts", "event_id", "event_type")
-    return e.groupBy("user_id").agg(F.max(row).alias("r")).select("user_id", "r.event_id", "r.event_type")
+    e = e.withColumn("r", F.struct("at", "event_id", "event_type")).select("user_id", "day", "r")
+    got = sequences.latest_before(a, e, "user_id", "anchor", "day", prefer=F.col("r.event_type") == "view")
+    return got.where("found IS NOT NULL").select("user_id", "found.r.event_id", "found.r.event_type")
 
 
 WINDOWS = f"""{ANCHORS}, w AS (SELECT a.user_id, count(*) FILTER (WHERE anchor - CAST(ts AS DATE) BETWEEN 0 AND 14) AS n14,
@@ -495,11 +495,44 @@ def precision_at_q(spark, d):
     return metrics.precision_at(_scored(spark, d), "s", "y", "final_id", [0.01, 0.05, 0.1, 0.2]).select("q", "k", "hits")
 
 
-@query(f"""WITH {S}, u AS (SELECT 's' feature, fold, y, s v FROM s UNION ALL SELECT 'w', fold, y, w FROM s), k AS (SELECT feature, fold, y, rank() OVER (PARTITION BY feature, fold ORDER BY v) + (count(*) OVER (PARTITION BY feature, fold, v) - 1) / 2.0 r FROM u),
-a AS (SELECT feature, fold, {AUC} auc FROM k GROUP BY 1, 2) SELECT feature, round(avg(auc), 9) AS auc, (SELECT round(avg(CASE WHEN v <> 0 THEN 1.0 ELSE 0 END), 9) FROM u WHERE u.feature = a.feature) AS coverage FROM a GROUP BY 1""")
+NUMERIC = [
+    "wayback_snapshots_12m_preA", "gdelt_mentions_3m_preA", "age_at_seriesA_years", "seriesA_amount_usd_millions", "Number of Founders", "name_word_count",
+    "deeptech_llm_score", "edgar_filings_preA", "hn_mention_count_preA", "pkg_before_seriesA",
+]
+_U = " UNION ALL ".join(f"SELECT '{c}' feature, final_id % 5 AS fold, label::INT y, coalesce(\"{c}\"::DOUBLE, 0) v FROM final_dataset WHERE label IS NOT NULL" for c in NUMERIC)
+AUDIT = f"""WITH u AS ({_U}), k AS (SELECT feature, fold, y, rank() OVER (PARTITION BY feature, fold ORDER BY v) + (count(*) OVER (PARTITION BY feature, fold, v) - 1) / 2.0 r FROM u),
+a AS (SELECT feature, fold, {AUC} auc FROM k GROUP BY 1, 2), f AS (SELECT DISTINCT fold FROM u),
+c AS (SELECT u.feature, f.fold, count(*) * sum(v * y) - sum(v) * sum(y) < 0 falls FROM u JOIN f ON f.fold <> u.fold GROUP BY 1, 2),
+m AS (SELECT feature, avg(CASE WHEN falls THEN 1 - auc ELSE auc END) auc FROM a JOIN c USING (feature, fold) GROUP BY 1),
+g AS (SELECT feature, avg(CASE WHEN v <> 0 THEN 1.0 ELSE 0 END) cov, corr(v, y) r, min(v) < max(v) varies FROM u GROUP BY 1),
+z AS (SELECT feature, CASE WHEN varies THEN auc END auc, cov, r FROM m JOIN g USING (feature))"""
+
+
+def _audit(spark, d):
+    f = load(spark, d, "final_dataset").where("label IS NOT NULL").withColumn("fold", F.col("final_id") % 5)
+    found = [c for c in evaluation.numeric_columns(f, ["final_id", "org_id", "label", "fold"]) if c in NUMERIC]
+    return metrics.univariate_audit(f.select("label", "fold", *[F.col(f"`{c}`") for c in found]), found, "label", "fold")
+
+
+@query(AUDIT + " SELECT feature, round(auc, 9) AS auc, round(cov, 9) AS coverage, CASE WHEN auc IS NULL THEN 'unknown' WHEN auc > 0.55 THEN 'useful' WHEN auc > 0.52 THEN 'marginal' ELSE 'useless' END AS tier FROM z")
 def univariate_auc_unpivot(spark, d):
-    """Each feature's AUC over folds, and its coverage."""
-    return metrics.univariate_audit(_scored(spark, d), ["s", "w"], "y", "fold").select("feature", F.round("auc", 9).alias("auc"), F.round("coverage", 9).alias("coverage"))
+    """Every numeric feature's AUC over folds with the sign of the others, its coverage and its tier."""
+    return evaluation.tiers(_audit(spark, d)).select("feature", F.round("auc", 9).alias("auc"), F.round("coverage", 9).alias("coverage"), "tier")
+
+
+@query(AUDIT + " SELECT feature, round(r, 9) AS corr, coalesce(abs(r) > 0.3, false) AS suspicious FROM z ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 10")
+def suspicious_features(spark, d):
+    """The ten features that go with the label most: the limit is the report."""
+    f = load(spark, d, "final_dataset").where("label IS NOT NULL")
+    return evaluation.suspicious(f, NUMERIC, "label").withColumn("corr", F.round("corr", 9))
+
+
+@query("SELECT x.f AS feature, round(x.c, 9) AS corr, coalesce(abs(x.c) > 0.7, false) AS proxy FROM (SELECT unnest([" + ", ".join(f"{{'f': '{c}', 'c': c{i}}}" for i, c in enumerate(NUMERIC) if c != "seriesA_amount_usd_millions")
+  + "]) x FROM (SELECT " + ", ".join(f'corr(coalesce("{c}"::DOUBLE, 0), seriesA_amount_usd_millions) c{i}' for i, c in enumerate(NUMERIC)) + " FROM final_dataset))")
+def amount_proxies(spark, d):
+    """Features that are but another form of the amount."""
+    c = evaluation.proxies(load(spark, d, "final_dataset"), [c for c in NUMERIC if c != "seriesA_amount_usd_millions"], "seriesA_amount_usd_millions")
+    return c.withColumn("corr", F.round("corr", 9))
 
 
 @query(f"WITH {S} SELECT round(corr(s, y), 9) AS r_s, round(corr(w, y), 9) AS r_w FROM s")
@@ -535,10 +568,14 @@ def calibration_bins(spark, d):
     return metrics.calibration(x, "x", "y", 5).select("bin", "n", F.round("rate", 9).alias("rate"))
 
 
-@query()
+@query(f"""WITH {S}, r AS (SELECT k, s, y, (('0x' || substr(md5(final_id || '-' || k), 1, 8))::BIGINT + 0.5) / 4294967296.0 u FROM s, range(1, 1001) t(k)),
+w AS (SELECT k, s, y, (u > 0.36788)::INT + (u > 0.73576)::INT + (u > 0.9197)::INT + (u > 0.98101)::INT + (u > 0.99634)::INT w FROM r),
+g AS (SELECT k, s, sum(w * y) p, sum(w) n FROM w GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) below FROM g),
+t AS (SELECT k, sum(p * (below + (n + 1) / 2.0)) r, sum(p) p, sum(n) n FROM b GROUP BY 1), a AS (SELECT (r - p * (p + 1) / 2.0) / (p * (n - p)) auc FROM t WHERE p > 0 AND n > p)
+SELECT round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi FROM a""")
 def bootstrap_ci(spark, d):
     """The middle 95 % of the AUC over Poisson resamples."""
-    return metrics.bootstrap_auc(_scored(spark, d), "s", "y", "final_id")
+    return metrics.bootstrap_auc(_scored(spark, d), "s", "y", "final_id").select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 #: The reference's sources of features, strongest first, with those of its features that the tables hold.
@@ -590,6 +627,92 @@ def source_ablation(spark, d):
     return out
 
 
+@query(f"""WITH {S}, r AS (SELECT final_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(final_id AS VARCHAR)), final_id) k, count(*) OVER (PARTITION BY y) n FROM s)
+SELECT final_id, CASE WHEN k <= round(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r""")
+def stratified_split(spark, d):
+    """A fifth of each label's rows held out."""
+    return evaluation.stratified_split(_scored(spark, d).drop("fold"), "y", F.struct(F.md5(F.col("final_id").cast("string")), "final_id")).select("final_id", "split")
+
+
+def _labelled_input(spark, d):
+    x = _model_input(spark, d)
+    amount = F.coalesce("seriesA_amount_usd_millions", F.lit(0.0))
+    return x.withColumns({"label_large": (F.col("label") * (amount >= 5).cast("int")), "label_early": F.col("label") * (F.coalesce("age_at_seriesA_years", F.lit(9.0)) <= 4).cast("int")})
+
+
+@query()
+def set_ablation(spark, d):
+    """AUC, deviation and AP of all features, of the useful ones by their audit, of the rest, and without the amount."""
+    x = _model_input(spark, d)
+    audit = evaluation.tiers(metrics.univariate_audit(x, MODEL_FEATURES, "label", "fold"))
+    useful = sorted(r.feature for r in audit.where("tier = 'useful'").collect())  # a row per feature
+    sets = {"all": MODEL_FEATURES, "useful": useful, "other": [f for f in MODEL_FEATURES if f not in useful], "without_amount": [f for f in MODEL_FEATURES if f != "seriesA_amount_usd_millions"]}
+    out = evaluation.compare_sets(x, {k: v for k, v in sets.items() if v})
+    return out.select("features", "n", F.round("auc", 6).alias("auc"), F.round("sd", 6).alias("sd"), F.round("ap", 6).alias("ap"), "verdict")
+
+
+@query()
+def label_sensitivity(spark, d):
+    """The same features for three labels."""
+    out = evaluation.compare_labels(_labelled_input(spark, d), ["label", "label_large", "label_early"], MODEL_FEATURES)
+    return out.select("label", F.round("rate", 6).alias("rate"), F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
+
+
+@query()
+def ranked_scores(spark, d):
+    """Every row's score by a model fitted to the training part, and its rank; the best kind of model is chosen by its AUC on the rest."""
+    x = evaluation.stratified_split(_model_input(spark, d), "label", F.struct(F.md5(F.col("row_id").cast("string")), "row_id"))
+    fits = {k: models.fitted(x.where("split = 'train'"), MODEL_FEATURES, k) for k in ("logistic_l2", "logistic_l1")}
+    test = models.prepared(x.where("split = 'test'"), MODEL_FEATURES)
+    auc = None
+    for k, m in fits.items():
+        one = metrics.roc_auc(evaluation.rank_all(m, test).join(test.select("row_id", "label"), "row_id"), "score", "label").withColumn("kind", F.lit(k))
+        auc = one if auc is None else auc.unionByName(one)
+    best = evaluation.best_of(auc, "kind").first().kind  # a row per kind of model
+    return evaluation.rank_all(fits[best], models.prepared(x, MODEL_FEATURES)).select("row_id", F.round("score", 6).alias("score"), "rank").withColumn("kind", F.lit(best))
+
+
+@query()
+def top_importances(spark, d):
+    """The features that weigh most in the model of all rows."""
+    x = _model_input(spark, d)
+    got = evaluation.importances(spark, models.fitted(x, MODEL_FEATURES, "logistic_l2"), MODEL_FEATURES)
+    return got.withColumn("importance", F.round("importance", 6))
+
+
+# --- incremental -----------------------------------------------------------------------------------------------
+
+@query("""SELECT c_custkey, coalesce(n.bal, 0) AS c_acctbal, coalesce(c_mktsegment, '') AS segment FROM customer LEFT JOIN (SELECT o_custkey k, max(o_totalprice) bal FROM orders GROUP BY 1) n ON k = c_custkey""")
+def replace_then_merge(spark, d):
+    """A column taken out and merged anew from another table."""
+    c = load(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    new = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return incremental.replace_then_merge(c, new, ["c_custkey"], 0.0).select("c_custkey", "c_acctbal", F.coalesce("c_mktsegment", F.lit("")).alias("segment"))
+
+
+@query("""SELECT c_custkey, coalesce(n.bal, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey k, max(o_totalprice) bal FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) n ON k = c_custkey""")
+def suffix_reconcile(spark, d):
+    """A column that a merge left twice: the newer value where there is one."""
+    c = load(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("c_acctbal_x"))
+    new = load(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal_y"))
+    return incremental.reconcile(c.join(new, "c_custkey", "left"))
+
+
+@query("""SELECT run_id, count(*) AS n, count(DISTINCT org_id) AS entities, arg_min(feed, final_id) AS first_state, arg_max(feed, final_id) AS last_state FROM final_dataset WHERE run_id IS NOT NULL GROUP BY 1""")
+def run_ledger(spark, d):
+    """Rows, entities and states of each run."""
+    return incremental.run_status(load(spark, d, "final_dataset").where("run_id IS NOT NULL"), "run_id", "org_id", "feed", "final_id")
+
+
+@query("""SELECT count(*) FILTER (WHERE d) AS finished, count(*) FILTER (WHERE NOT d) AS to_do FROM (SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') d FROM customer)""")
+def resume_checkpoint(spark, d):
+    """Entities that a checkpoint has finished, and those left."""
+    done = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderpriority") == "1-URGENT", "ok").alias("marker"))
+    fin, rest = incremental.resume(load(spark, d, "customer").select("c_custkey"), done, "c_custkey", "marker")
+    both = fin.select(F.lit(1).alias("f")).unionByName(rest.select(F.lit(0).alias("f")))
+    return both.agg(F.count_if(F.col("f") == 1).alias("finished"), F.count_if(F.col("f") == 0).alias("to_do"))
+
+
 @query("""WITH h AS (SELECT event_type, date_trunc('day', ts) d, value FROM events), w AS (SELECT event_type, d - INTERVAL 1 DAY * k AS start, value FROM h, range(0, 14) t(k))
 SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
 def stream_window_counts(spark, d):

@@ -63,5 +63,17 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
     return _stored_and_known(spark, d).select("final_id", "signal", "known_value")
 
 
-QUERIES = {"p2_found": p2_found, "p2_formats": p2_formats, "p4_found": p4_found, "p4_values": p4_values}
-SQL: dict[str, str] = {}
+def p4_updates(spark: SparkSession, d: str) -> DataFrame:
+    """The three signals of each company as known when its row was updated: plain times, so that SQL can say the same."""
+    asked = load(spark, d, "companies").where("updated_at IS NOT NULL").select("org_id", "updated_at", F.explode(F.array(*[F.lit(s) for s in SIGNALS])).alias("signal"))
+    got = as_known_at(asked, load(spark, d, "signal_history"), ["org_id", "signal"], "updated_at", tie="obs_id")
+    return got.select("org_id", "signal", "known_value")
+
+
+QUERIES = {"p2_found": p2_found, "p2_formats": p2_formats, "p4_found": p4_found, "p4_values": p4_values, "p4_updates": p4_updates}
+SQL: dict[str, str] = {
+    "p4_updates": """WITH q AS (SELECT org_id, updated_at, unnest(['patent_earliest_date_preA', 'wayback_snapshots_12m_preA', 'gdelt_mentions_3m_preA']) AS signal FROM companies WHERE updated_at IS NOT NULL),
+j AS (SELECT q.*, value, obs_id, row_number() OVER (PARTITION BY q.org_id, q.signal ORDER BY valid_from DESC NULLS LAST, known_at DESC NULLS LAST, obs_id DESC NULLS LAST) k
+  FROM q LEFT JOIN signal_history h ON h.org_id = q.org_id AND h.signal = q.signal AND valid_from <= updated_at AND known_at <= updated_at)
+SELECT org_id, signal, value AS known_value FROM j WHERE k = 1"""
+}

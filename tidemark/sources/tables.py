@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,40 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> D
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_hardened_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
+    """A stage's CSV with quoted texts over several lines; rows that don't fit the schema are dropped, header names trimmed."""
+    df = spark.read.schema(schema).csv(path, header=True, sep=sep, mode="DROPMALFORMED", quote='"', escape="\\", encoding="utf-8", multiLine=True)
+    return df.toDF(*[c.strip() for c in df.columns])
+
+
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType, least: int = 1000) -> DataFrame:
+    """A downloaded JSON dataset, accepted only if it holds more than some rows; raises otherwise."""
+    df = read_json_records(spark, path, schema)
+    n = df.limit(least + 1).count()
+    if n <= least:
+        raise ValueError(f"{path} holds {n} rows, {least} or fewer")
+    return df
+
+
+def columns_of(spark: SparkSession, directory: str) -> dict[str, list[str]]:
+    """The tables of a folder and their columns."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(directory)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName()[:-8] for s in fs.listStatus(root) if s.getPath().getName().endswith(".parquet"))
+    return {n: load(spark, directory, n).columns for n in names}
+
+
+def in_list(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is in a table of wanted ones, as a semi-join whatever its size."""
+    return df.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """A job's setting: the session's configuration, else the environment, else the default; nobody is asked."""
+    return spark.conf.get(f"tidemark.{name.lower()}", None) or os.environ.get(name.upper()) or default
+
+
 def norm_null(c: Column | str) -> Column:
     """NULL for every way a text can be missing, else the text unchanged."""
     c = F.col(c) if isinstance(c, str) else c

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import append_ledger
+
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     """A directory of parquet files as a stream, one file per trigger."""
@@ -22,15 +24,9 @@ def windowed_counts(events: DataFrame, time: str, kind: str, span: str = "14 day
 
 
 def upsert_ledger(path: str, key: str):
-    """A foreachBatch writer that appends only keys that the ledger lacks."""
+    """A foreachBatch writer that appends only keys that the ledger lacks; an error of reading it ends the batch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        try:
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception:  # noqa: BLE001 - the first batch finds no ledger
-            pass
-        rows.write.mode("append").parquet(path)
+        append_ledger(batch, path, key)
 
     return write
