@@ -90,6 +90,32 @@ def test_slips_are_all_found(spark):
     assert {(cores[i], cores[j]) for i, j in want} >= {("pularoasfe", "puxarosafe"), ("merodmuaro", "mreodumaro")}
 
 
+def test_pairs_of_hot_keys_in_cells(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(97)] + [("cold", 3), ("cold", 1), ("alone", 5), (None, 1), (None, 2)], "k string, id int")
+    got = [tuple(r) for r in variants.self_pairs(df, ["k"], "id", cell=10).collect()]
+    assert len(got) == len(set(got)) and set(got) == {("hot", i, j) for i in range(97) for j in range(i + 1, 97)} | {("cold", 1, 3)}
+
+
+def test_no_pair_of_persons_at_or_above_low_is_lost(spark):
+    """Against the cosine of every pair, computed here from the same weights."""
+    import math
+
+    rnd = random.Random(12)
+    base = [f"{a} {b}" for a in ("maria", "robert", "yusuf", "chloe") for b in ("denugult", "kamenov", "oliveira", "tanaka")]
+    texts = sorted({"".join(c if rnd.random() > 0.08 else rnd.choice("aeioubdk") for c in rnd.choice(base)) for _ in range(120)})
+    rows = [(i, 1, "f", "p", t, variants.grams(t, 3)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id bigint, space bigint, field string, kind string, text string, grams array<string>")
+    got = {(r.a, r.b) for r in variants.similar(df).collect()}
+    count = {}
+    for r in rows:
+        for g in r[5]:
+            count[g] = count.get(g, 0) + 1
+    w = [{g: math.log(1 + len(rows) / count[g]) for g in r[5]} for r in rows]
+    cos = lambda x, y: sum(v * y.get(g, 0) for g, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if cos(w[i], w[j]) >= variants.LOW + 1e-9 and names.person_agreement(tuple(texts[i].split()), tuple(texts[j].split())) > 0}
+    assert len(want) > 50 and want == got
+
+
 def test_em_recovers_classes():
     rnd = random.Random(4)
     rows = []

@@ -7,14 +7,15 @@ which the rest of the vector is shorter than LOW (grams ordered by frequency); o
 so no pair at or above LOW is missed and no partner list is capped. Slips leave two organisations' cores
 few grams or none in common, so these are joined on what a pair within EDITS edits always shares (see
 slip_keys), and the cosine only adds to their score. The candidates' cosines are computed from the whole
-vectors. Links are grouped by average linkage, absent pairs counting 0, in rounds that merge all mutually
+vectors, and only pairs of persons whose cosine reaches LOW are compared further. Links are grouped by average linkage, absent pairs counting 0, in rounds that merge all mutually
 nearest clusters at once; average linkage is reducible, so the result is that of merging one pair at a
-time. No group is ever collected.
+time. No group is ever collected, and pairs of a hot gram or of a large cluster are made in cells (see self_pairs).
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ ship(sys.modules[__name__])
 LOW, LINK, ORG_GRAM, PERSON_GRAM = 0.25, 0.5, 4, 3
 #: Most edits of organisations' cores, from how many letters on; cores below SHORT letters need LOW too; above LONG they are cut into segments.
 EDITS, TWICE, SHORT, LONG = 2, 8, 4, 24
+#: Rows of one key that are paired in one group.
+CELL = 2000
 FORM = "field string, scope string, name string, kind string, line string, text string, grams array<string>"
 
 
@@ -124,6 +127,21 @@ def slipped(orgs: DataFrame) -> DataFrame:
     return short.select("a", "b", "ta", "tb").unionByName(long).where(F.levenshtein("ta", "tb", 2 * EDITS) >= 0)  # a swap counts twice here
 
 
+def self_pairs(df: DataFrame, key: Sequence[str], id_: str, cell: int = CELL) -> DataFrame:
+    """(key..., a, b), a < b: the pairs of different ids of rows with one key, a pair once per key.
+
+    A key with more than cell rows is cut into cells of about that many; each pair of cells is a group of its own, so no task
+    holds a hot key, and none of its pairs is left out.
+    """
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell).select(*key, F.ceil(F.col("_n") / cell).alias("_p"))
+    at = df.select(*key, id_).join(n, list(key), "left").withColumn("_c", F.pmod(F.xxhash64(id_), F.coalesce("_p", F.lit(1))))
+    last = F.coalesce(F.col("_p"), F.lit(1)) - 1
+    left = at.select(*key, F.col(id_).alias("_a"), F.col("_c").alias("_i"), F.explode(F.sequence(F.col("_c"), last)).alias("_j"))
+    right = at.select(*key, F.col(id_).alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c"))).alias("_i"), F.col("_c").alias("_j"))
+    both = left.join(right, [*key, "_i", "_j"]).where((F.col("_a") < F.col("_b")) | ((F.col("_i") < F.col("_j")) & (F.col("_a") > F.col("_b"))))
+    return both.select(*key, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
 def similar(nodes: DataFrame) -> DataFrame:
     """(a, b, s): pairs of nodes (id, space, kind, text, grams) of one space that may be one name, a < b."""
     g = nodes.select("id", "space", "field", "kind", F.explode("grams").alias("gram"))
@@ -146,21 +164,18 @@ def similar(nodes: DataFrame) -> DataFrame:
         F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"] / F.col("norm")))).alias("vec"),
     )
     vec = materialize(vec, "vectors")
-    key = vec.where("kind = 'p'").select("id", "space", "text", F.explode(F.slice("gs", F.lit(1), F.greatest(F.col("k"), F.lit(1)))).alias("gram"))
-    a, b = key.alias("a"), key.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("space", "gram")] + [F.col("a.id") < F.col("b.id")]
-    persons = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("ta"), F.col("b.text").alias("tb"))
-    orgs = slipped(vec.where("kind = 'o'").select("id", "space", "text"))
-    cand = persons.withColumn("kind", F.lit("p")).unionByName(orgs.withColumn("kind", F.lit("o"))).dropDuplicates(["a", "b"])
-    cand = cand.withColumn("agree", agreement("kind", "ta", "tb")).where("agree > 0")
-    cand = cand.select("a", "b", "agree", ((F.col("kind") == "o") & (F.least(F.length("ta"), F.length("tb")) >= SHORT)).alias("sure"))
-    va, vb = vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), vec.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
+    key = vec.where("kind = 'p'").select("id", "space", F.explode(F.slice("gs", F.lit(1), F.greatest(F.col("k"), F.lit(1)))).alias("gram"))
+    persons = self_pairs(key, ["space", "gram"], "id").select("a", "b").distinct()
+    orgs = slipped(vec.where("kind = 'o'").select("id", "space", "text")).select("a", "b").distinct()
+    cand = persons.withColumn("kind", F.lit("p")).unionByName(orgs.withColumn("kind", F.lit("o")))
+    side = lambda c: vec.select(F.col("id").alias(c), F.col("vec").alias(f"v{c}"), F.col("text").alias(f"t{c}"))
     dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, x: s + F.coalesce(F.col("va")[x] * F.col("vb")[x], F.lit(0.0)))
     # cores within the allowed edits link by themselves, whatever grams the slips leave them
-    sure = F.col("agree") + (1 - F.col("agree")) * F.col("cos")
-    return cand.join(va, "a").join(vb, "b").withColumn("cos", dot).where((F.col("cos") >= LOW) | F.col("sure")).select(
-        "a", "b", F.when(F.col("sure"), sure).otherwise(F.lit(0.4) * F.col("cos") + F.lit(0.6) * F.col("agree")).alias("s")
-    )
+    sure = (F.col("kind") == "o") & (F.least(F.length("ta"), F.length("tb")) >= SHORT)
+    cand = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "kind", "ta", "tb", dot.alias("cos"), sure.alias("sure")).where((F.col("cos") >= LOW) | F.col("sure"))
+    cand = cand.withColumn("agree", agreement("kind", "ta", "tb")).where("agree > 0")
+    by_edits = F.col("agree") + (1 - F.col("agree")) * F.col("cos")
+    return cand.select("a", "b", F.when(F.col("sure"), by_edits).otherwise(F.lit(0.4) * F.col("cos") + F.lit(0.6) * F.col("agree")).alias("s"))
 
 
 def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
@@ -222,7 +237,6 @@ def link_variants(rows: DataFrame, person: Column) -> DataFrame:
 
 
 def pairs(clustered: DataFrame) -> DataFrame:
-    """All pairs of different spellings of a cluster, name_a < name_b by code points."""
-    a, b = clustered.alias("a"), clustered.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("field", "scope", "cluster")] + [F.col("a.name") < F.col("b.name")]
-    return a.join(b, on).select("a.field", "a.scope", F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
+    """All pairs of different spellings of a cluster, name_a < name_b by code points: the edge at which membership is written out."""
+    got = self_pairs(clustered.distinct(), ["field", "scope", "cluster"], "name")
+    return got.select("field", "scope", F.col("a").alias("name_a"), F.col("b").alias("name_b"))
