@@ -183,6 +183,14 @@ def test_best_fit(sizes):
     assert packing.lower_bound(sizes, 30) <= len(free) <= 1.5 * packing.lower_bound(sizes, 30) + 1
 
 
+def test_bounds_from_counts():
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = rnd.integers(1, 40, rnd.integers(1, 200))
+        value, n = np.unique(sizes, return_counts=True)
+        assert packing.lower_bound(value, 40, n) == packing.lower_bound(sizes, 40)
+
+
 def test_pack_round_trip(spark):
     rnd = random.Random(3)
     sizes = {i: rnd.choice([3, 40, 99, 100, 101, 250, 1000]) + rnd.randrange(5) for i in range(300)}

@@ -81,11 +81,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, np.array(free, dtype=np.int64)
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The greatest of the bounds: volume, and two families of dual feasible functions."""
+def lower_bound(sizes: np.ndarray, capacity: int, count: np.ndarray | None = None) -> int:
+    """The greatest of the bounds: volume, and two families of dual feasible functions. With count, sizes are distinct and come so often."""
     if not len(sizes):
         return 0
-    value, count = np.unique(sizes, return_counts=True)
+    value, count = np.unique(sizes, return_counts=True) if count is None else (np.asarray(sizes), np.asarray(count))
     value, total = value.astype(np.int64), count.astype(np.int64)
     best = -(-int((value * total).sum()) // capacity)
     # sizes above capacity - t count whole, below t not at all, the rest by volume
@@ -191,11 +191,7 @@ def _bound_all(items: DataFrame, capacities: dict[int, int]) -> DataFrame:
     sizes = items.groupBy("capacity_id", "size").agg(F.count(F.lit(1)).alias("n"))
 
     def run(key, pdf):
-        value, n, cap = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), capacities[int(key[0])]
-        best = -(-int((value * n).sum()) // cap)
-        for t in value[value * 2 <= cap]:
-            big, mid = value > cap - t, (value >= t) & (value <= cap - t)
-            best = max(best, int(n[big].sum()) + -(-int((value[mid] * n[mid]).sum()) // cap))
+        best = lower_bound(pdf["size"].to_numpy(np.int64), capacities[int(key[0])], pdf["n"].to_numpy(np.int64))
         return pd.DataFrame({"capacity_id": [int(key[0])], "least": [best]})
 
     return sizes.groupBy("capacity_id").applyInPandas(run, "capacity_id int, least bigint")

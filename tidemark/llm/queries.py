@@ -156,8 +156,9 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used for each capacity, and the certified least number."""
-    return _packed(spark, d)[1].select("capacity_id", "containers", "least", "tokens")
+    """Containers used for each capacity, the certified least number, and the gap between them as a share of it."""
+    gap = F.round(F.col("containers") / F.col("least") - 1, 6)
+    return _packed(spark, d)[1].select("capacity_id", "containers", "least", "tokens", gap.alias("gap"))
 
 
 QUERIES = {
