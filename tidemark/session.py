@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: str | None = None
+_WRITTEN: dict[SparkSession, set[str]] = {}
 
 
 def get_spark(app: str = "tidemark", cpus: str | int | None = None) -> SparkSession:
@@ -23,7 +24,7 @@ def get_spark(app: str = "tidemark", cpus: str | int | None = None) -> SparkSess
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(max(8, os.cpu_count() or 8 if cpus == "*" else int(cpus))))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
@@ -33,11 +34,13 @@ def get_spark(app: str = "tidemark", cpus: str | int | None = None) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
@@ -50,8 +53,27 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark not in _WRITTEN:
+        _WRITTEN[spark] = set()
+        atexit.register(_remove_all, spark)
+    _WRITTEN[spark].add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables that materialize wrote and that no later plan reads; anything else is left alone."""
+    for df in dfs:
+        path = getattr(df, "_written_to", None)
+        if path:
+            _remove(df.sparkSession, path)
+            _WRITTEN.get(df.sparkSession, set()).discard(path)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    for path in _WRITTEN.pop(spark, set()):
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -66,6 +88,3 @@ def ship(module) -> None:
     """Pickle the functions of a module's package by value, so that executors need no copy of it."""
     cloudpickle.register_pickle_by_value(sys.modules[module.__name__.partition(".")[0]])
 
-
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
