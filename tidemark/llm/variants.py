@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.names import edits, is_org, org_form, person_agreement, person_form
-from tidemark.session import materialize, ship
+from tidemark.session import discard, materialize, ship
 
 ship(sys.modules[__name__])
 
@@ -201,10 +201,12 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
         to = merge.select(F.col("b").alias("old"), F.col("a").alias("new"))
         move = lambda df, c: df.join(to, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
         moved = move(move(edges, "a"), "b").where("a <> b")
+        old = edges, member, merge
         edges = materialize(
             moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "links"
         )
         member = materialize(move(member, "cluster"), "clusters")
+        discard(*old)  # what a round made is read by the next one only
         sizes = member.groupBy("cluster").agg(F.sum("n").alias("n"))
     return member.select("id", "cluster")
 
