@@ -1,10 +1,11 @@
-"""Normal forms of names typed by people."""
+"""Normal forms of names typed by people; lines of business come from a lexicon learnt from the data."""
 
 from __future__ import annotations
 
 import re
 import sys
 import unicodedata
+from dataclasses import dataclass
 
 from tidemark.session import ship
 
@@ -15,16 +16,6 @@ LEGAL = frozenset(
     "inc incorporated incorp llc corp corporation co company ltd limited pbc lp llp plc gmbh ag sa the holdings holding group hq usa us".split()
 )
 ORG_MARK = frozenset("inc incorporated llc corp corporation ltd lp llp gp fund partners capital trust holdings company".split())
-# Lines of business with the ways they are shortened.
-BUSINESS = {
-    "ai": "ai artificialintelligence", "aerospace": "aerosp aero", "analytics": "anlytcs analyt", "biosciences": "biosci bio biosciences",
-    "capitaltools": "captls capitaltls captools", "cloud": "cld clouds", "datasystems": "datasys dsys", "diagnostics": "dx diag",
-    "energy": "enrgy en", "genomics": "gnmx genom", "insurance": "ins insur", "labs": "lab laboratories laboratory",
-    "learning": "lrng learn", "lending": "lndg lend", "logistics": "lgstcs logist", "materials": "matls", "medical": "medcl med",
-    "networks": "netwks ntwks network", "payments": "paymts pmts", "photonics": "phtncs photon", "robotics": "rbtcs robot",
-    "security": "secur sec", "semiconductor": "semi semicon semiconductors", "software": "sftwr softw", "technologies": "tech technol technology",
-    "therapeutics": "tx ther therap",
-}
 # Short forms of given names.
 NICKNAMES = {
     "alexander": "alex sasha xander", "alexandra": "alex sandra", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny",
@@ -41,7 +32,6 @@ TITLES = frozenset("jr sr phd md mba esq dr mr mrs ms ii iii iv cpa jd prof".spl
 EMPTY = frozenset({"n/a", "na", "none", "nan", "nat", "-", "null", ""})
 PARTICLES = frozenset("de la van der von den di da del le".split())
 
-_SHORT = {s: k for k, v in BUSINESS.items() for s in v.split()} | {k: k for k in BUSINESS}
 _GIVEN: dict[str, list[str]] = {}
 for _k, _v in NICKNAMES.items():
     for _s in [*_v.split(), _k]:
@@ -88,16 +78,27 @@ def edits(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
-def business(token: str, last: bool = True) -> str | None:
+@dataclass(frozen=True)
+class Lexicon:
+    """Lines of business, written together, and the line of each form (itself included); see lexicon.py."""
+
+    lines: tuple[str, ...]
+    forms: dict[str, str]
+
+
+NO_LINES = Lexicon((), {})
+
+
+def business(token: str, lex: Lexicon, last: bool = True) -> str | None:
     """The line of business that a word names, shortened, with one slip, or cut off if it is a name's last word."""
-    if token in _SHORT:
-        return _SHORT[token]
+    if token in lex.forms:
+        return lex.forms[token]
     if last and len(token) >= 5:
-        full = [k for k in BUSINESS if k.startswith(token)]
+        full = [k for k in lex.lines if k.startswith(token)]
         if len(full) == 1:
             return full[0]
     if len(token) >= 6:
-        near = [k for k in BUSINESS if len(k) >= 6 and within_one(token, k)]
+        near = [k for k in lex.lines if len(k) >= 6 and within_one(token, k)]
         if len(near) == 1:
             return near[0]
     return None
@@ -106,16 +107,25 @@ def business(token: str, last: bool = True) -> str | None:
 _PAREN = re.compile(r"[(\[]\s*(?:us|usa|u\.s\.a?\.?)\s*[)\]]|/[a-z]{2,4}/?\s*$")
 
 
-def org_form(name: str | None) -> tuple[str, str] | None:
+def _cleaned(name: str) -> str:
+    s = _PAREN.sub(" ", plain(name).strip()).replace("'", "").replace("’", "")
+    s = re.sub(r"\bl\.?\s?l\.?\s?c\b\.?", " llc ", s)
+    return re.sub(r"\b([a-z])\.\s?([a-z])\.", r" \1\2 ", s)
+
+
+def name_words(name: str) -> list[str]:
+    """The words of an organisation's name without legal forms, unless nothing else is there."""
+    tokens = re.findall(r"[a-z0-9]+", _cleaned(name))
+    return [t for t in tokens if t not in LEGAL] or tokens
+
+
+def org_form(name: str | None, lex: Lexicon = NO_LINES) -> tuple[str, str] | None:
     """(core, line of business or ''): the core's words without blanks, the shorter of two first; None if nothing is left."""
     if name is None:
         return None
-    s = _PAREN.sub(" ", plain(name).strip())
-    s = s.replace("'", "").replace("’", "")
-    s = re.sub(r"\bl\.?\s?l\.?\s?c\b\.?", " llc ", s)
-    s = re.sub(r"\b([a-z])\.\s?([a-z])\.", r" \1\2 ", s)
+    s = _cleaned(name)
     by = re.match(r"^(.*)\bby\b(.*)$", s)
-    if by and business("".join(re.findall(r"[a-z0-9]+", by.group(1)))):
+    if by and business("".join(re.findall(r"[a-z0-9]+", by.group(1))), lex):
         s = by.group(2) + " " + by.group(1)
     s = re.sub(r"^\s*board of\b", " ", s)
     tokens = re.findall(r"[a-z0-9]+", s)
@@ -124,12 +134,9 @@ def org_form(name: str | None) -> tuple[str, str] | None:
         kept.pop()
     kind, core, i = "", [], 0
     while i < len(kept):
-        two = _SHORT.get("".join(kept[i : i + 2])) if i + 1 < len(kept) else None
-        if two is None and i + 1 < len(kept):
-            both = kept[i] + kept[i + 1]
-            two = next((k for k in ("capitaltools", "datasystems", "biosciences") if k[:3] == both[:3] and len(both) >= 5 and _parts(k, kept[i], kept[i + 1])), None)
-        one = business(kept[i], i == len(kept) - 1 and tokens[-1] == kept[i])
-        if i == 0 and one and kept[0] not in BUSINESS:
+        two = lex.forms.get("".join(kept[i : i + 2])) if i + 1 < len(kept) else None
+        one = business(kept[i], lex, i == len(kept) - 1 and tokens[-1] == kept[i])
+        if i == 0 and one and kept[0] not in lex.lines:
             one = None  # a short form doesn't begin a name
         if two and (core or len(kept) > 2):
             kind = kind or two
@@ -145,7 +152,7 @@ def org_form(name: str | None) -> tuple[str, str] | None:
         return None
     if not kind and len(core) == 1 or (not kind and len(core) == 2 and len(core[1]) > 10):
         # a name run together with its line of business
-        for k in BUSINESS:
+        for k in lex.lines:
             if core[-1].endswith(k) and len(core[-1]) > len(k) + 5 and len(k) > 3:
                 core[-1], kind = core[-1][: -len(k)], k
                 break
@@ -154,17 +161,6 @@ def org_form(name: str | None) -> tuple[str, str] | None:
     return "".join(core), kind
 
 
-_SPLITS = {"capitaltools": ("capital", "tools"), "datasystems": ("data", "systems"), "biosciences": ("bio", "sciences")}
-
-
-def _parts(k: str, a: str, b: str) -> bool:
-    """Whether a and b are the two words of k, each whole, cut off or without vowels."""
-    x, y = _SPLITS[k]
-    bare = lambda w: re.sub("[aeiou]", "", w)
-    ok = lambda t, w: w.startswith(t) or within_one(t, w) or bare(t) == bare(w) or t in (bare(w), w[:3])
-    return ok(a, x) and (ok(b, y) or b in ("tls", "sys"))
-
-
 def is_org(name: str) -> bool:
     toks = re.findall(r"[a-z]+", plain(name).replace(".", ""))
     return len(toks) >= 2 and (any(t in LEGAL and t not in ("the", "us", "co", "sa", "ag") for t in toks) or any(t in ORG_MARK for t in toks))

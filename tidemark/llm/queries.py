@@ -110,7 +110,8 @@ def _written_names(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spellings of one organisation or person."""
-    return variants.pairs(variants.link_variants(_written_names(spark, d), F.col("field") == "LASTNAME"))
+    more = load(spark, d, "issuers").select(F.col("ENTITYNAME").alias("name"))
+    return variants.pairs(variants.link_variants(_written_names(spark, d), F.col("field") == "LASTNAME", more))
 
 
 def _organisations(spark: SparkSession, d: str) -> DataFrame:

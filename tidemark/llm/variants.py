@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.names import edits, is_org, org_form, person_agreement, person_form
+from tidemark.llm.lexicon import learn
+from tidemark.llm.names import Lexicon, edits, is_org, org_form, person_agreement, person_form
 from tidemark.session import discard, materialize, ship
 
 ship(sys.modules[__name__])
@@ -44,21 +45,26 @@ def grams(text: str, n: int) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def forms(batches):
-    for pdf in batches:
-        rows = []
-        for f, s, name, person in zip(pdf["field"], pdf["scope"], pdf["name"], pdf["person"]):
-            if person and not is_org(name):
-                t = person_form(name)
-                if t and sum(len(w) > 1 for w in t):
-                    text = " ".join(t)
-                    rows.append((f, s, name, "p", "", text, grams(" ".join(w.replace("-", " ") for w in t), PERSON_GRAM)))
-            else:
-                bare = name.replace("N/A", " ").replace("None", " ") if person else name
-                o = org_form(bare)
-                if o and o[0]:
-                    rows.append((f, s, name, "o", o[1], o[0], grams(o[0], ORG_GRAM)))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FORM.split(", ")])
+def forms(lex: Lexicon):
+    """field, scope, name, person -> FORM."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for f, s, name, person in zip(pdf["field"], pdf["scope"], pdf["name"], pdf["person"]):
+                if person and not is_org(name):
+                    t = person_form(name)
+                    if t and sum(len(w) > 1 for w in t):
+                        text = " ".join(t)
+                        rows.append((f, s, name, "p", "", text, grams(" ".join(w.replace("-", " ") for w in t), PERSON_GRAM)))
+                else:
+                    bare = name.replace("N/A", " ").replace("None", " ") if person else name
+                    o = org_form(bare, lex)
+                    if o and o[0]:
+                        rows.append((f, s, name, "o", o[1], o[0], grams(o[0], ORG_GRAM)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FORM.split(", ")])
+
+    return run
 
 
 @F.pandas_udf(T.DoubleType())
@@ -211,16 +217,18 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
     return member.select("id", "cluster")
 
 
-def link_variants(rows: DataFrame, person: Column) -> DataFrame:
+def link_variants(rows: DataFrame, person: Column, more_names: DataFrame | None = None) -> DataFrame:
     """(field, scope, name, cluster): the spellings that have a normal form, with their name's cluster.
 
     rows: field, scope, name; person tells which fields hold persons (organisations among them are
-    recognised). NULL, empty and placeholder names get no row; repeated rows count once. Only names of
+    recognised); more_names (name) are organisations' names that only help to learn lines of business. NULL, empty and placeholder names get no row; repeated rows count once. Only names of
     one field and scope can share a cluster, and organisations only where their line of business is the
     same; an organisation written without one joins the only one of that name, if there is just one.
     """
     distinct = rows.where("name IS NOT NULL AND trim(name) <> ''").select("field", "scope", "name", person.alias("person")).distinct()
-    made = materialize(distinct.mapInPandas(forms, FORM), "forms")
+    known = distinct.where("NOT person").select("name")
+    lex = learn(known if more_names is None else known.unionByName(more_names.select("name")))
+    made = materialize(distinct.mapInPandas(forms(lex), FORM), "forms")
     id_ = F.xxhash64("field", "scope", "kind", "line", "text")
     made = made.withColumn("id", id_)
     nodes = made.groupBy("id").agg(
