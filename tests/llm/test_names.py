@@ -10,7 +10,7 @@ from tidemark.llm import lexicon, linkage, names, variants
 LEX = names.Lexicon(("capitaltools", "logistics", "payments"), {"capitaltools": "capitaltools", "captls": "capitaltools", "logistics": "logistics", "payments": "payments"})
 
 
-def _many_names(spark, lines=("Labs", "Cloud", "Energy", "Capital Tools"), n=60):
+def _many_names(spark, lines=("Labs", "Cloud", "Energy", "Capital Tools"), n=100):
     """Firms of several lines of business, some written twice, the second time shortened."""
     rnd = random.Random(21)
     word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(3)).title()
@@ -19,7 +19,7 @@ def _many_names(spark, lines=("Labs", "Cloud", "Energy", "Capital Tools"), n=60)
     for line in lines:
         for i in range(n):
             x = f"{word()} {word()}"
-            rows += [f"{x} {line}", *([f"{x} {short[line]}, Inc."] if i % 8 == 0 else []), *([x] if i % 9 == 0 else [])]
+            rows += [f"{x} {line}", *([f"{x} {short[line]}, Inc."] if i % 34 == 0 else []), *([x] if i % 9 == 0 else [])]
     return spark.createDataFrame([(r,) for r in rows + [None, "", "Solo"]], "name string")
 
 
