@@ -137,9 +137,10 @@ def self_pairs(df: DataFrame, key: Sequence[str], id_: str, cell: int = CELL) ->
     """(key..., a, b), a < b: the pairs of different ids of rows with one key, a pair once per key.
 
     A key with more than cell rows is cut into cells of about that many; each pair of cells is a group of its own, so no task
-    holds a hot key, and none of its pairs is left out.
+    holds a hot key, and none of its pairs is left out. Only rows whose first key column is that frequent are counted by all.
     """
-    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell).select(*key, F.ceil(F.col("_n") / cell).alias("_p"))
+    big = df.groupBy(key[0]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell).select(key[0])
+    n = df.join(big, key[0], "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell).select(*key, F.ceil(F.col("_n") / cell).alias("_p"))
     at = df.select(*key, id_).join(n, list(key), "left").withColumn("_c", F.pmod(F.xxhash64(id_), F.coalesce("_p", F.lit(1))))
     last = F.coalesce(F.col("_p"), F.lit(1)) - 1
     left = at.select(*key, F.col(id_).alias("_a"), F.col("_c").alias("_i"), F.explode(F.sequence(F.col("_c"), last)).alias("_j"))
@@ -154,6 +155,9 @@ def similar(nodes: DataFrame) -> DataFrame:
     df = g.groupBy("field", "kind", "gram").agg(F.count(F.lit(1)).alias("df"))
     total = nodes.groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))  # a row per field
     weighted = g.join(df, ["field", "kind", "gram"]).join(F.broadcast(total), ["field", "kind"]).withColumn("w", F.log(1 + F.col("n") / F.col("df")))
+    # what is alone in its space has no partner; it counts in the frequencies all the same
+    met = nodes.groupBy("space").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("space")
+    weighted = weighted.join(met, "space", "left_semi")
     vec = weighted.groupBy("id", "space", "kind").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
     vec = vec.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
     # how many of the rarest grams to index: until what is left is shorter than LOW
@@ -248,5 +252,5 @@ def link_variants(rows: DataFrame, person: Column, more_names: DataFrame | None
 
 def pairs(clustered: DataFrame) -> DataFrame:
     """All pairs of different spellings of a cluster, name_a < name_b by code points: the edge at which membership is written out."""
-    got = self_pairs(clustered.distinct(), ["field", "scope", "cluster"], "name")
+    got = self_pairs(clustered.distinct(), ["cluster", "field", "scope"], "name")
     return got.select("field", "scope", F.col("a").alias("name_a"), F.col("b").alias("name_b"))
