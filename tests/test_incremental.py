@@ -112,3 +112,30 @@ def test_imputation_by_name(spark):
     assert got[0].gdelt_mentions in (0, 2) and sorted(r.age for r in got) == [4.0, 6.0, 8.0] and all(r.none == 0 for r in got)
     assert [r.m for r in df.select(features.missing_category("c").alias("m")).collect()] == ["MISSING", "x", "MISSING"]
     assert R.select_features(df, [R.FeatureSpec("age", "x")]).columns == ["age"]
+
+
+def test_quarantine_and_verifiers(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "k int, v int")
+    kept, vetoed = incremental.quarantine(df, {"known": F.col("v").isNotNull(), "positive": F.col("v") > 0})
+    assert [r.k for r in kept.collect()] == [1] and sorted((r.k, r.veto) for r in vetoed.collect()) == [(2, "known"), (3, "positive")]
+    assert len(R.VERIFIER_DEFAULTS) == 10
+    x = spark.createDataFrame([("a", "b")], "c string, e string")
+    assert R.verify(x, "wikipedia", "c", "e").first().accepted is False and R.verify(x, "packages", "c", "e").first().accepted is True
+
+
+def test_stream_clusters_equal_batch(spark, tmp_path):
+    from tidemark.operators.sequences import anchored_clusters
+    from tidemark.streaming.windows import stream_clusters
+
+    rows = [("a", f"2020-01-{d:02}") for d in (1, 5, 20)] + [("a", "2020-06-01"), ("a", "2020-06-01"), ("b", "2020-03-01"), (None, "2020-01-01")]
+    schema = "e string, d string"
+    for i in range(2):  # in order of days, over two triggers
+        part = [r for r in rows if (r[1] >= "2020-02") == bool(i)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream_clusters(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "e", "d").writeStream.format("parquet")
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = sorted((r.entity, r.day, r.cluster_start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = anchored_clusters(spark.createDataFrame(rows, schema).where("e IS NOT NULL").withColumn("d", F.to_date("d")), "e", "d")
+    assert got == sorted((r.e, r.d, r.cluster_start) for r in batch.collect())

@@ -51,6 +51,17 @@ def merge_newer(df: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return got.withColumns({c: F.coalesce(f"_new_{c}", c) for c in both}).drop(*[f"_new_{c}" for c in both])
 
 
+def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(kept, vetoed): rows that break no rule, and the others with the name of the first rule that they break. A rule that is NULL for a row
+    is broken: what can't be judged isn't let through."""
+    broken = None
+    for name, ok in rules.items():
+        bad = ~F.coalesce(ok, F.lit(False))
+        broken = F.when(bad, name) if broken is None else broken.when(bad, name)
+    marked = df.withColumn("veto", broken)
+    return marked.where("veto IS NULL").drop("veto"), marked.where("veto IS NOT NULL")
+
+
 # --- runs ------------------------------------------------------------------------------------------------------
 
 def latest_run(runs: DataFrame, done: DataFrame, run: str = "run_id") -> DataFrame:

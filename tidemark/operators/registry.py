@@ -38,6 +38,15 @@ def register_verifier(name: str, fn: Callable[[str, str], bool] | None, on_missi
     _VERIFIERS[name] = (fn, on_missing, on_error)
 
 
+# What each source's verifier answers without a client, and when it fails.
+VERIFIER_DEFAULTS = {
+    "wikipedia": (False, False), "code_host": (True, True), "packages": (True, True), "forum": (True, True), "launch_site": (True, True),
+    "trials_sponsor": (True, False), "awards_recipient": (False, False), "patents_assignee": (True, True), "accelerator": (False, False), "second_papers": (False, False),
+}
+for _name, (_missing, _error) in VERIFIER_DEFAULTS.items():
+    register_verifier(_name, None, _missing, _error)
+
+
 def verify(df: DataFrame, name: str, claim: str, evidence: str, out: str = "accepted") -> DataFrame:
     """df plus the verdict. Each distinct (claim, evidence) is judged once and joined back."""
     fn, on_missing, on_error = _VERIFIERS[name]
