@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,13 @@ ship(sys.modules[__name__])
 BITS, SAMPLE, HOLD_OUT, ONE, L2, STEPS, ROUNDS, SURE, MENTION = 18, 80_000, 10, 1, 2e-5, 120, 3, 1.0, 8.0
 #: The first indexes, kept for what isn't hashed.
 DENSE = 32
-#: Seeds of weak labels: the shapes of template slots, the long words with which the usual filler begins, and a few phrases.
+#: Seeds of weak labels: the shapes of template slots, the long words with which the usual filler begins, a few phrases, and errors' names.
 SLOTS = r"\{\{|\$\{|<%|__[A-Z]{3,}|%[A-Z_]{4,}%|\[[A-Z][A-Za-z]* ?[A-Z]|\bX{4,}\b"
 FILLER = r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|eiusmod|incididunt|labore|aliqua|hoodie|sriracha|kombucha|fixie|typewriter)\b"
 PHRASES = r"your (?:text|title|headline|own content)|goes here|sample (?:page|text)|javascript|scripts|browser|not found|forbidden|server error|unavailable|timed out|for sale|suspended|maintenance|coming soon"
-SEEDS = re.compile(f"{SLOTS}|(?i:{FILLER}|{PHRASES})")
+#: An error's number with its name, by the HTTP standard.
+STATUS = "|".join(rf"\b{x.value}\W{{1,3}}{re.escape(x.phrase)}\b" for x in HTTPStatus if x.value >= 400)
+SEEDS = re.compile(f"{SLOTS}|(?i:{FILLER}|{PHRASES}|{STATUS})")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 MENU = re.compile(r"(?:\b(?:home|about|team|blog|contact|menu|search|product|pricing|careers|log in|services|skip to content|loading\.\.\.|privacy|terms|sitemap)\b\s*)+", re.I)
