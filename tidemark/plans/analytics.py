@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
 from tidemark.functions.keys import domain_norm
-from tidemark.operators import evaluation, features, incremental, matching, metrics, models, sequences
+from tidemark.operators import evaluation, features, incremental, matching, metrics, models, sequences, signals
 from tidemark.sources.tables import load, norm_null
 from tidemark.streaming.windows import windowed_counts
 
@@ -132,7 +132,7 @@ def existence_flag(spark, d):
 def noise_cap(spark, d):
     """Counts that reach the source's cap say nothing and become 0."""
     c = load(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return c.select("user_id", F.when(F.col("n") >= 70, 0).otherwise(F.col("n")).alias("n"), F.when(F.col("n") >= 70, "noisy").otherwise("ok").alias("note"))
+    return c.select("user_id", signals.noise_cap(F.col("n"), 70).alias("n"), F.when(F.col("n") >= 70, "noisy").otherwise("ok").alias("note"))
 
 
 @query("""WITH f AS (SELECT o_custkey e, min(CAST(o_orderdate AS DATE)) founded FROM orders GROUP BY 1)
@@ -142,8 +142,8 @@ def founding_gate(spark, d):
     o = _orders(spark, d)
     f = o.groupBy((F.col("e") - 1).alias("e")).agg(F.min("day").alias("founded"))
     li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("l"))
-    gap = F.datediff("founded", F.col("l").cast("date"))
-    return o.join(li, "o_orderkey").join(f, "e").select("o_orderkey", F.coalesce(gap <= 365, F.lit(True)).alias("passes"))
+    passes = signals.founding_gate(F.col("founded"), F.col("l").cast("date"), 365)
+    return o.join(li, "o_orderkey").join(f, "e").select("o_orderkey", passes.alias("passes"))
 
 
 # --- matching --------------------------------------------------------------------------------------------

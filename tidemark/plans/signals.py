@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions.arrays import zip_filter
 from tidemark.functions.keys import accession, cik10
 from tidemark.functions.names import domain_host
 from tidemark.functions.numbers import parse_date
 from tidemark.operators import pages, signals
 from tidemark.plans.analytics import _bucket_sql
 from tidemark.plans.filings import _HOST, _acc, _cik, _day
-from tidemark.sources.tables import load
+from tidemark.sources.tables import load, norm_null
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +136,56 @@ def signal_fold(spark, d):
     """Registered signals merged to the cohort by name."""
     tables = {"key": "org_id", "pages": _docs(spark, d, "wayback_about"), "posts": _docs(spark, d, "forum_thread", "launch_post").select("org_id", "day", F.lit(False).alias("launch"), F.lit(False).alias("verified"))}
     return signals.run_signals(_cohort(spark, d), tables, ["presence", "forum"], "org_id").select("org_id", "wiki_present", "forum_mentions")
+
+
+@query("""WITH t AS (SELECT o_custkey e, CAST(o_orderdate AS DATE) anchor FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) rn FROM orders) WHERE rn = 3)
+SELECT e, anchor >= DATE '1995-06-17' AS covered, CASE WHEN anchor >= DATE '1995-06-17' THEN 'queried' ELSE 'before_coverage' END AS note FROM t""")
+def coverage_gate(spark, d):
+    """Whether a source that starts on a day covers each entity's anchor."""
+    from tidemark.plans.analytics import _third
+
+    ok = signals.coverage_gate(F.col("anchor"), "1995-06-17")
+    return _third(spark, d).select("e", ok.alias("covered"), F.when(ok, "queried").otherwise("before_coverage").alias("note"))
+
+
+_PAGE = "'<html><head><style>p {}</style></head><nav>Home</nav><script>x < 1</script><p>' || text || '</p>&nbsp;&amp;<footer>end</footer><!-- c --></html>'"
+_TAGS = "script style nav header footer svg noscript template".split()
+
+
+def _html_sql() -> str:
+    s = f"regexp_replace({_PAGE}, '(?is)<!--.*?-->', ' ', 'g')"
+    s = f"regexp_replace({s}, '(?is)" + "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in _TAGS) + "', ' ', 'g')"
+    s = f"regexp_replace({s}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        s = f"replace({s}, '{name}', '{sign}')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, {_html_sql()} t FROM documents WHERE text IS NOT NULL)")
+def html_to_text(spark, d):
+    """Text of pages, here made of the documents with the usual furniture around."""
+    page = F.concat(F.lit("<html><head><style>p {}</style></head><nav>Home</nav><script>x < 1</script><p>"), "text", F.lit("</p>&nbsp;&amp;<footer>end</footer><!-- c --></html>"))
+    t = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", pages.page_text(page).alias("t"))
+    return t.select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("digest"))
+
+
+@query("""WITH l AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 60 anchor, CAST(l_shipdate AS DATE) d, l_returnflag k FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT o_orderkey, count(*) FILTER (WHERE d < anchor AND k IN ('R', 'A')) AS n_before, min(d) AS first_day FROM l GROUP BY 1""")
+def array_zip_filter(spark, d):
+    """Of two parallel arrays per order the pairs before an anchor and of some kinds; an order has few lines."""
+    li = load(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_shipdate").cast("date").alias("d"), F.col("l_returnflag").alias("k")).alias("x"))
+    a = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select("l_orderkey", F.col("x.d").alias("dates"), F.col("x.k").alias("kinds"))
+    o = load(spark, d, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 60).alias("anchor")).join(a, F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select("o_orderkey", F.size(zip_filter("dates", "kinds", F.col("anchor"), ["R", "A"])).alias("n_before"), F.array_min("dates").alias("first_day"))
+
+
+@query("""WITH u AS (SELECT upper(trim(assignee_name)) v, unnest(sample_titles) title, last_filing f FROM patent_assignees WHERE trim(coalesce(assignee_name, '')) NOT IN ('', 'nan', 'None', 'NaT')),
+r AS (SELECT v, title, row_number() OVER (PARTITION BY v ORDER BY title) k FROM (SELECT DISTINCT v, title FROM u WHERE title IS NOT NULL))
+SELECT v AS assignee, count(*) AS titles, string_agg(title, ' | ' ORDER BY title) FILTER (WHERE k <= 5) AS sample FROM r GROUP BY 1""")
+def sample_titles(spark, d):
+    """Distinct titles of each assignee, five of them joined."""
+    p = load(spark, d, "patent_assignees").where(norm_null("assignee_name").isNotNull())
+    t = p.select(F.upper(F.trim("assignee_name")).alias("assignee"), F.explode("sample_titles").alias("title")).where("title IS NOT NULL").distinct()
+    n = t.groupBy("assignee").agg(F.count(F.lit(1)).alias("titles"))
+    five = signals.capped_per_key(t, "assignee", [F.col("title")], 5).groupBy("assignee").agg(F.array_join(F.array_sort(F.collect_list("title")), " | ").alias("sample"))
+    return n.join(five, "assignee")
