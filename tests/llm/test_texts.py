@@ -226,22 +226,22 @@ def test_tokens(spark):
 
 
 def test_seeds():
-    assert all(residue.SEEDS.search(x) for x in ("by [Founder Name] in", "in __CITY_NAME__", "Hi {{x}}", "NOT FOUND", "Lorem ipsum"))
-    assert not residue.SEEDS.search("We forecast losses for [old] mills.")
+    assert all(residue.seeded(x) for x in ("Oh: 502 Bad Gateway","by [Founder Name] in", "in __CITY_NAME__", "Hi {{x}}", "NOT FOUND", "Lorem ipsum"))
+    assert not residue.seeded("We forecast 502 losses for [old] mills.")
 
 
 def test_residue_in_unseen_words(spark):
     """Wordings that no seed matches are learnt from the pages that they share with known ones, and found on hosts held out."""
     own = [f"Our {a} helps {b} to {c} every week." for a in ("sensor", "pump", "ledger", "drone") for b in ("farms", "mills", "ports") for c in ("plan routes", "cut waste", "track orders")]
     new = ["Oops, this address has wandered off.", "Kindly return to where you came from.", "Nothing lives here any more, sadly."]
-    assert not any(residue.SEEDS.search(x) for x in new)
+    assert not any(residue.seeded(x) for x in new)
     rnd, rows = random.Random(3), []
     for i in range(600):
         kind = i % 6
         text = " ".join(rnd.sample(own, 5)) if kind > 1 else " ".join([*rnd.sample(new, 1 + kind), *["404 Not Found."] * (kind == 0)])
         rows.append((i, text, "404" if kind == 0 else "200", f"h{i % 97}"))
     df = spark.createDataFrame(rows, "page_id bigint, full_text string, statuscode string, domain_clean string")
-    scored = residue.score_pages(df, residue.train(df))
+    scored = residue.score_pages(df, residue.train(df), weak=True)
     got = {r.page_id: (r.residue, r.fold) for r in scored.collect()}
     assert {i for i, (bad, _) in got.items() if bad} == {i for i in range(600) if i % 6 < 2}
     assert any(bad and fold == 0 and i % 6 == 1 for i, (bad, fold) in got.items())

@@ -66,7 +66,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
     """How well the decisions agree with the weak labels, on hosts that the classifier was fitted to and on unseen ones."""
     pages = load(spark, d, "wayback_pages")
-    return residue.validate(residue.score_pages(pages, _fitted("residue", residue.train, pages)))
+    return residue.validate(residue.score_pages(pages, _fitted("residue", residue.train, pages), weak=True))
 
 
 def _abuse_scores(spark: SparkSession, d: str) -> tuple[DataFrame, float]:

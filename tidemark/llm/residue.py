@@ -36,8 +36,9 @@ SLOTS = r"\{\{|\$\{|<%|__[A-Z]{3,}|%[A-Z_]{4,}%|\[[A-Z][A-Za-z]* ?[A-Z]|\bX{4,}\
 FILLER = r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|eiusmod|incididunt|labore|aliqua|hoodie|sriracha|kombucha|fixie|typewriter)\b"
 PHRASES = r"your (?:text|title|headline|own content)|goes here|sample (?:page|text)|javascript|scripts|browser|not found|forbidden|server error|unavailable|timed out|for sale|suspended|maintenance|coming soon"
 #: An error's number with its name, by the HTTP standard.
-STATUS = "|".join(rf"\b{x.value}\W{{1,3}}{re.escape(x.phrase)}\b" for x in HTTPStatus if x.value >= 400)
-SEEDS = re.compile(f"{SLOTS}|(?i:{FILLER}|{PHRASES}|{STATUS})")
+STATUS = re.compile("|".join(rf"\b{x.value}\W{{1,3}}{re.escape(x.phrase)}\b" for x in HTTPStatus if x.value >= 400), re.I)
+SEEDS = re.compile(f"{SLOTS}|(?i:{FILLER}|{PHRASES})")
+_NUMBER = re.compile(r"\b[45]\d\d\b")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 MENU = re.compile(r"(?:\b(?:home|about|team|blog|contact|menu|search|product|pricing|careers|log in|services|skip to content|loading\.\.\.|privacy|terms|sitemap)\b\s*)+", re.I)
@@ -47,6 +48,10 @@ def sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SPLIT.split(text)) if s]
 
 
+def seeded(s: str) -> bool:
+    return bool(SEEDS.search(s) or (_NUMBER.search(s) and STATUS.search(s)))
+
+
 def content(s: str) -> bool:
     """Whether a sentence says more than a menu or a name."""
     return len(MENU.sub(" ", s).split()) >= 4
@@ -101,7 +106,7 @@ def draw(batches):
             if sents:
                 got = page_features(text, host)
                 size = np.array([len(i) for i, _ in got], np.int32)
-                marks = np.array([(bool(SEEDS.search(s)), content(s), len(s.split())) for s in sents], np.int32)
+                marks = np.array([(seeded(s), content(s), len(s.split())) for s in sents], np.int32)
                 idx, val = (np.concatenate(x) for x in zip(*got))
                 rows.append((page, idx.astype(np.int32).tobytes(), val.astype(np.float32).tobytes(), size.tobytes(), marks.tobytes(), bool(status) and status[:1] in "45"))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in DRAWN.split(", ")])
@@ -152,7 +157,7 @@ def fit(batches):
     yield pd.DataFrame({"theta": [fit_pages(pdf).astype(np.float32).tobytes()], "n": [len(pdf)]})
 
 
-def page_score(text: str, host: str | None, theta: np.ndarray, memo: dict) -> tuple[int, int, float, int]:
+def page_score(text: str, host: str | None, theta: np.ndarray, memo: dict, weak: bool) -> tuple[int, int, float, int]:
     """(residue sentences, content sentences, greatest score, weak label or -1) of a page."""
     bad = own = seeds = plain = 0
     top = -np.inf
@@ -162,17 +167,17 @@ def page_score(text: str, host: str | None, theta: np.ndarray, memo: dict) -> tu
         got = memo.get(key)
         if got is None:
             i, v = features(s, k == 0, stem)
-            got = float(theta[i] @ v), content(s), bool(SEEDS.search(s))
+            got = float(theta[i] @ v), content(s), weak and seeded(s)
             if len(memo) > 200_000:
                 memo.clear()
             memo[key] = got
-        z, full, seeded = got
+        z, full, seed = got
         bad += z > 0
         own += z <= 0 and full
-        seeds += seeded
-        plain += full and not seeded
+        seeds += seed
+        plain += full and not seed
         top = max(top, z)
-    return bad, own, top, 1 if seeds and plain <= ONE else 0 if not seeds and plain >= 4 else -1
+    return bad, own, top, -1 if not weak else 1 if seeds and plain <= ONE else 0 if not seeds and plain >= 4 else -1
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -197,10 +202,10 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return np.frombuffer(got.theta, np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 
-def score_pages(pages: DataFrame, theta: np.ndarray) -> DataFrame:
+def score_pages(pages: DataFrame, theta: np.ndarray, weak: bool = False) -> DataFrame:
     """(page_id, fold, n_residue, n_content, score, weak, residue) for every page that has a text.
 
-    weak is the page's label by SEEDS alone, NULL where they leave it open. NULL, empty and blank texts give
+    weak is the page's label by the seeds alone, NULL where they leave it open or it isn't asked for. NULL, empty and blank texts give
     no row; repeated pages give a row each.
     """
     shared = pages.sparkSession.sparkContext.broadcast(theta)  # a model of fixed size, 1 MB
@@ -208,7 +213,7 @@ def score_pages(pages: DataFrame, theta: np.ndarray) -> DataFrame:
     def run(batches):
         memo: dict = {}
         for pdf in batches:
-            got = [page_score(t, h, shared.value, memo) for t, h in zip(pdf["text"], pdf["host"])]
+            got = [page_score(t, h, shared.value, memo, weak) for t, h in zip(pdf["text"], pdf["host"])]
             cols = {c: [g[i] for g in got] for i, c in enumerate(("n_residue", "n_content", "score", "weak"))}
             yield pd.DataFrame({"page_id": pdf["page_id"], "fold": pdf["fold"]} | cols)
 
