@@ -117,11 +117,14 @@ def amount_score(amount: Column, sector: Column, year: Column, b: Bands = Bands(
     return F.when(amount < b.seed, 0.0).when(amount > F.greatest(F.lit(b.late), b.mega * b.base * mult), 0.05).otherwise(N.gaussian(amount, mid, half))
 
 
+# Factors by age in years and by growth over the round before.
 def age_factor(age: Column) -> Column:
+    """How typical an age is of the anchor: highest from two to four years, unknown ages aren't held against it."""
     return F.when(age.isNull() | ((age >= 2) & (age <= 4)), 1.0).when(age < 1.5, 0.4).when(age < 2, 0.7).when(age <= 6, 0.8).otherwise(0.5)
 
 
 def step_factor(step: Column) -> Column:
+    """How much a round's growth speaks for it."""
     return F.when(step >= 3, 1.5).when(step >= 2, 1.2).when(step < 0.5, 0.6).otherwise(1.0)
 
 

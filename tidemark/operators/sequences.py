@@ -44,7 +44,8 @@ def latest_before(
     """left plus found: the struct of right's row with the latest time not after at (and, with prefer, among those preferred first).
 
     An equi-join on the key with the inequality inside an aggregate, over the distinct keys and times of left, so equal rows of
-    left stay apart; of right only the greatest row per task, key and time is shuffled. NULL where there is none.
+    left stay apart; of right only the greatest row per task, key and time is shuffled. NULL where there is none. Made for few
+    times per key in left, such as an entity's anchors; for many, as_known_at keeps a state instead of comparing them all.
     """
     cols = [c for c in right.columns if c not in (key, time)]
     row = F.struct((prefer.cast("int") if prefer is not None else F.lit(0)).alias("preferred"), F.col(time), *cols)

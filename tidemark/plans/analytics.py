@@ -361,14 +361,14 @@ def amount_confidence(spark, d):
     return o.groupBy(F.when(F.col("s") > 0, "HIGH").when(F.col("o") > 0, "MED").otherwise("LOW").alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT final_id, ln(1 + greatest(0, coalesce(wayback_snapshots_12m_preA, 0))) AS log_snapshots, CASE WHEN name_word_count > 0 THEN round_even(coalesce(deeptech_llm_score, 0) * 1.0 / name_word_count, 2) ELSE 0 END AS per_word,
+@query("""SELECT final_id, round(ln(1 + greatest(0, coalesce(wayback_snapshots_12m_preA, 0))), 12) AS log_snapshots, CASE WHEN name_word_count > 0 THEN round_even(coalesce(deeptech_llm_score, 0) * 1.0 / name_word_count, 2) ELSE 0 END AS per_word,
  coalesce(seriesA_amount_usd_millions, 0) / greatest(coalesce(age_at_seriesA_years, 1), 1) AS per_year FROM final_dataset""")
 def log_features(spark, d):
     """Logarithms, guarded ratios and rates."""
     f = load(spark, d, "final_dataset")
     age = F.greatest(F.coalesce("age_at_seriesA_years", F.lit(1.0)), F.lit(1.0))
     return f.select(
-        "final_id", N.log_count("wayback_snapshots_12m_preA").alias("log_snapshots"),
+        "final_id", F.round(N.log_count("wayback_snapshots_12m_preA"), 12).alias("log_snapshots"),
         N.ratio(F.coalesce("deeptech_llm_score", F.lit(0)) * 1.0, "name_word_count", 2).alias("per_word"),
         (F.coalesce("seriesA_amount_usd_millions", F.lit(0.0)) / age).alias("per_year"),
     )
