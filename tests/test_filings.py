@@ -71,3 +71,22 @@ def test_containing_names_lose_nothing(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     got = {(r.i, r.j) for r in matching.containing_names(df, df.withColumnsRenamed({"i": "j", "n": "m"}), "n", "m").collect()}
     assert got == {(i, j) for (i, a), (j, b) in itertools.product(enumerate(names), repeat=2) if a in b or b in a}
+
+
+def test_containing_names_never_broadcasts_grams(spark, tmp_path):
+    """Exploded grams are estimated far below their size: on the driver they would fill its memory. Long names are as whole as short ones."""
+    import itertools
+    import random
+    import re
+
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 14))) for _ in range(120)]
+    names = sorted({*names, "", "abcdef", "xabcdefy", "abcde", "\U0001f600bcdef", "x\U0001f600bcdef"})
+    spark.createDataFrame([*enumerate(names), (-1, None)], "i int, n string").write.parquet(f"{tmp_path}/n")
+    df = spark.read.parquet(f"{tmp_path}/n")  # a file has a size to estimate from
+    pairs = matching.containing_names(df, df.withColumnsRenamed({"i": "j", "n": "m"}), "n", "m")
+    joins = re.findall(r"(\w+Join) \[g#\d+\], \[g#\d+\], (\w+)", pairs._jdf.queryExecution().sparkPlan().toString())
+    assert joins and {how for kind, how in joins if kind == "BroadcastHashJoin"} <= {"LeftSemi"}
+    got = {(r.i, r.j) for r in pairs.collect()}
+    want = {(i, j) for (i, a), (j, b) in itertools.product(enumerate(names), repeat=2) if a == b or (a and b and (a in b or b in a))}
+    assert {(i, j) for i, j in got if names[i] and names[j]} == {(i, j) for i, j in want if names[i] and names[j]}

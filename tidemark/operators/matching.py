@@ -57,21 +57,31 @@ def containing_names(left: DataFrame, right: DataFrame, lname: str, rname: str,
     """left x right plus tier (see name_tier), where it isn't 0: no pair in which one name contains the other is lost.
 
     Whatever contains a name holds all of its grams; so the shorter side is joined on the rarest of its grams, in both directions,
-    on distinct names. Names shorter than a gram are joined on the letters that they have.
+    on distinct names: of twice gram letters for names as long as that, else of gram letters, or those that the name has.
+    Exploded grams are far larger than Catalyst's estimate of them, so they are merged and never broadcast; broadcast are
+    only the distinct grams of the names below twice gram letters, at most as many as the alphabet to the power gram.
     """
     def cut(n: Column, size: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - size + 1)), lambda i: F.substring(n, i, F.lit(size)))
 
     a, b = left.select(F.col(lname).alias("_n")).distinct(), right.select(F.col(rname).alias("_n")).distinct()
 
-    def contained(small: DataFrame, big: DataFrame) -> DataFrame:
-        """(s, b): the names of big that contain a name of small."""
-        every = F.array_distinct(F.concat(*[cut(F.col("_n"), k) for k in range(1, gram + 1)]))
-        posted = big.select(F.col("_n").alias("b"), F.explode(every).alias("g"))
+    def anchored(small: DataFrame, big: DataFrame, size: int, sizes: range, few: bool) -> DataFrame:
+        """(s, b): the names of big that contain a name of small, by small's grams of size letters among big's of sizes."""
+        asked = small.select(F.col("_n").alias("s"), F.explode(F.array_distinct(cut(F.col("_n"), size))).alias("g"))
+        posted = big.select(F.col("_n").alias("b"), F.explode(F.array_distinct(F.concat(*[cut(F.col("_n"), k) for k in sizes]))).alias("g"))
+        if few:
+            posted = posted.join(F.broadcast(asked.select("g").distinct()), "g", "left_semi")
         df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-        asked = small.select(F.col("_n").alias("s"), F.explode(F.array_distinct(cut(F.col("_n"), gram))).alias("g")).join(df, "g", "left")
+        asked = asked.hint("merge").join(df, "g", "left")
         rare = asked.groupBy("s").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "g")).alias("r")).where("r.f > 0").select("s", F.col("r.g").alias("g"))
-        return rare.join(posted, "g").where(F.contains("b", F.col("s"))).select("s", "b")
+        return rare.join(posted.hint("merge"), "g").where(F.contains("b", F.col("s"))).select("s", "b")
+
+    def contained(small: DataFrame, big: DataFrame) -> DataFrame:
+        long = F.length("_n") >= 2 * gram
+        return anchored(small.where(long), big.where(long), 2 * gram, range(2 * gram, 2 * gram + 1), False).union(
+            anchored(small.where(~long), big, gram, range(1, gram + 1), True)
+        )
 
     pairs = contained(a, b).select(F.col("s").alias(lname), F.col("b").alias(rname)).union(contained(b, a).select("b", "s")).distinct()
     return left.join(pairs, lname).join(right, rname).withColumn("tier", name_tier(F.col(lname), F.col(rname))).where("tier > 0")
