@@ -239,3 +239,36 @@ def test_organisations(spark):
 @pytest.mark.parametrize("d,want", [("getsamipevoke.example", ("samipevoke", "")), ("vifa-hq.example", ("vifa", "")), ("situpakipupayments.example", ("situpakipu", "payments")), (None, ("", ""))])
 def test_domains(d, want):
     assert linkage.domain_form(d, LEX) == want
+
+
+def test_chance_pairs_are_counted_and_not_written(spark):
+    """Names that share but an end are compared and counted; only pairs with evidence are written, in rounds, and no result changes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(1)
+    names = ["".join(rnd.choice("bcdfghjklmnprstvwz") for _ in range(5)) + " nikelo" for _ in range(70)]
+    name = names.__getitem__
+    c = spark.createDataFrame([(i, name(i), None, None, None, None, None, None) for i in range(40)], "org_id bigint, name string, domain string, hq string, postal string, founders string, founded date, subject array<bigint>")
+    i = spark.createDataFrame([(f"{k:010d}", f"A{k}", name(k), None, None, None, None) for k in range(20, 60)], "cik string, accession string, name string, city string, state string, zip string, seen date")
+    p = spark.createDataFrame([], "accession string, name string")
+    a = spark.createDataFrame([(k, name(k), None, None) for k in range(30, 70)], "row bigint, name string, filed date, subject array<bigint>")
+    compared = linkage.link_organisations(c, i, p, a)
+    written, made, few, append = [], [], linkage.ROUND, linkage.materialize_rounds
+
+    def spy(s, step, n, called="step"):
+        out = append(s, step, n, called)
+        made.append(n)
+        written.append((out.count(), out.agg(F.sum("n")).first()[0]))
+        return out
+
+    linkage.ROUND, linkage.materialize_rounds = 800, spy
+    try:
+        got = linkage.link_organisations(c, i, p, a, least=linkage.ACCEPT)
+        got = {tuple(r)[:3]: round(r.confidence, 9) for r in got.where(F.col("confidence") >= linkage.ACCEPT).collect()}
+    finally:
+        linkage.ROUND, linkage.materialize_rounds = few, append
+    assert all(n > 1 for n in made) and all(4 * rows < pairs for rows, pairs in written) and len(written) >= 2
+    want = {tuple(r)[:3]: round(r.confidence, 9) for r in compared.where(F.col("confidence") >= linkage.ACCEPT).collect()}
+    assert got == want and compared.count() >= 1600
