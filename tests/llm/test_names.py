@@ -248,7 +248,7 @@ def test_chance_pairs_are_counted_and_not_written(spark):
     from pyspark.sql import functions as F
 
     rnd = random.Random(1)
-    names = ["".join(rnd.choice("bcdfghjklmnprstvwz") for _ in range(5)) + " nikelo" for _ in range(70)]
+    names = ["".join(rnd.choice("bcdfghjklmnprstvwz") for _ in range(5)) + "nikelo" for _ in range(70)]
     name = names.__getitem__
     c = spark.createDataFrame([(i, name(i), None, None, None, None, None, None) for i in range(40)], "org_id bigint, name string, domain string, hq string, postal string, founders string, founded date, subject array<bigint>")
     i = spark.createDataFrame([(f"{k:010d}", f"A{k}", name(k), None, None, None, None) for k in range(20, 60)], "cik string, accession string, name string, city string, state string, zip string, seen date")
